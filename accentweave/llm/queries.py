@@ -7,18 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, mixing, templates, tokens, toxicity
 from . import license as licences
-from . import mixing, templates, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def _fold(parts: int):
+    """The remainder of crc32 of the document's number as text; null where that is null."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs, _fold(4) != 2)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_kept").alias("kept"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels", "doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels, _fold(3) != 1)
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), F.col("tox_score").alias("score"), F.col("toxic").alias("predicted"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -33,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op8_licenses, op9_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op4_mixing, op6_toxicity, op8_licenses, op9_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
