@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, templates, tokens, toxicity
+from . import langid, mixing, neighbours, templates, tokens, toxicity
 from . import license as licences
 
 
@@ -39,6 +39,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), F.col("tox_score").alias("score"), F.col("toxic").alias("predicted"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -53,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_mixing, op6_toxicity, op8_licenses, op9_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op4_mixing, op6_toxicity, op7_neighbours, op8_licenses, op9_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
