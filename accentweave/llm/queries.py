@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neighbours, templates, tokens, toxicity
+from . import jaccard, langid, mixing, neighbours, templates, tokens, toxicity
 from . import license as licences
 
 
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_kept").alias("kept"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -58,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_mixing, op6_toxicity, op7_neighbours, op8_licenses, op9_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard, op4_mixing, op6_toxicity, op7_neighbours, op8_licenses, op9_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

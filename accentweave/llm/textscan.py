@@ -118,6 +118,6 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return words
     k = min(k, n)
     out = np.zeros(n - k + 1, dtype=np.uint64)
-    for i in range(k):
-        out += mix(words[i : n - k + 1 + i] + np.uint64(i + 1) * _GOLD)
+    for i, salt in enumerate(np.arange(1, k + 1, dtype=np.uint64) * _GOLD):
+        out += mix(words[i : n - k + 1 + i] + salt)
     return mix(out + np.uint64(k))
