@@ -28,16 +28,24 @@ FIELD = "<*>"
 
 
 def _masked(line: Column) -> Column:
-    """The line's tokens joined by one space, those with a digit as fields."""
-    bare = F.regexp_replace(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)
-    return F.trim(bare)
+    """The line's tokens joined by one space, those with a digit as fields. Most lines need neither expression."""
+    odd = line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(plain)
+
+
+def _filled(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def lines_of(docs: DataFrame, depth: int = 3) -> DataFrame:
     """``(doc_id, masked, leaf, line)``: every line that is not blank, its leaf and its own template's hash."""
-    parted = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("doc_id", _masked(F.col("raw")).alias("masked")).where("masked <> ''")
+    raw = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).where(_filled(F.col("raw")))
+    masked = raw.select("doc_id", _masked(F.col("raw")).alias("masked"))
     count = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    return parted.select("doc_id", "masked", F.xxhash64(count, F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("line"))
+    return masked.select("doc_id", "masked", F.xxhash64(count, F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("line"))
 
 
 def _document_counts(rows: DataFrame, key: str) -> DataFrame:
@@ -46,10 +54,17 @@ def _document_counts(rows: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-def leaf_templates(lines: DataFrame, wide: DataFrame, min_literal: float) -> DataFrame:
-    """``(leaf, line)`` for the lines of the leaves ``wide`` that take their leaf's template."""
-    forms = lines.join(wide, "leaf").groupBy("leaf", "line").agg(F.count("*").alias("weight"), F.max("masked").alias("masked"))
-    tokens = forms.select("leaf", "line", "weight", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+def leaf_templates(docs: DataFrame, forms: DataFrame, depth: int, min_literal: float) -> DataFrame:
+    """``(leaf, line)`` for the lines of ``forms(leaf, line, weight, rep)`` that take their leaf's template.
+
+    A line's tokens are read from one document that has it, ``rep``.
+    """
+    owners = forms.select("rep").distinct()
+    read = lines_of(docs.join(owners, docs["doc_id"].eqNullSafe(owners["rep"]), "left_semi"), depth).alias("r")
+    f = forms.alias("f")
+    mine = (F.col("r.leaf") == F.col("f.leaf")) & (F.col("r.line") == F.col("f.line")) & F.col("r.doc_id").eqNullSafe(F.col("f.rep"))
+    texts = f.join(read, mine).groupBy("f.leaf", "f.line").agg(F.max("f.weight").alias("weight"), F.max("r.masked").alias("masked"))
+    tokens = texts.select("leaf", "line", "weight", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
     votes = tokens.groupBy("leaf", "pos", "token").agg(F.sum("weight").alias("votes"))
     top = votes.groupBy("leaf", "pos").agg(F.sum("votes").alias("n"), F.max(F.struct("votes", "token")).alias("best"))
     literal = (2 * F.col("best.votes") > F.col("n")) & (F.col("best.token") != FIELD)
@@ -64,9 +79,11 @@ def recurring(docs: DataFrame, keys: DataFrame, min_docs: int, depth: int, min_l
 
     ``keys(doc_id, leaf, line)`` are the lines of ``docs``, stashed.
     """
-    kinds = keys.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("n_lines"))
-    wide = _document_counts(keys, "leaf").where(F.col("n_docs") >= min_docs).join(kinds.where("n_lines > 1"), "leaf").select("leaf")
-    general, _ = stash(leaf_templates(lines_of(docs, depth), wide, min_literal), "line-leaves")
+    kinds = keys.groupBy("leaf", "line").agg(F.count("*").alias("weight"), F.min("doc_id").alias("rep"))
+    many = kinds.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.sum("weight").alias("n")).where((F.col("n_lines") > 1) & (F.col("n") >= min_docs)).select("leaf")
+    wide = _document_counts(keys.join(many, "leaf"), "leaf").where(F.col("n_docs") >= min_docs).select("leaf")
+    forms, _ = stash(kinds.join(wide, "leaf"), "line-forms")
+    general, _ = stash(leaf_templates(docs, forms, depth, min_literal), "line-leaves")
     own = _document_counts(keys, "line").where(F.col("n_docs") >= min_docs).select("line", "first_doc")
     leaves = _document_counts(keys.join(general, ["leaf", "line"]), "leaf").where(F.col("n_docs") >= min_docs).select("leaf", "first_doc")
     by_leaf = general.join(leaves, "leaf").select("line", "first_doc")
@@ -88,7 +105,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_literal
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda raw: ~F.array_contains("_gone", F.xxhash64(_masked(raw))))
     out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept).otherwise(parts))
-    filled = lambda column: F.coalesce(F.size(F.filter(column, lambda raw: raw.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
+    filled = lambda column: F.coalesce(F.size(F.filter(column, _filled)), F.lit(0)).cast("long")
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(filled(parts)))
     out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - filled(F.col("_kept"))))
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))).drop("_gone", "_kept")
