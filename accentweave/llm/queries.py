@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, neighbours, templates, tokens, toxicity
+from . import jaccard, langid, mixing, neighbours, substring, templates, tokens, toxicity
 from . import license as licences
 
 
@@ -35,6 +35,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels", "doc_id", F.col("toxic").alias("label"))
@@ -62,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard, op4_mixing, op6_toxicity, op7_neighbours, op8_licenses, op9_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard, op4_mixing, op5_substring_dedup, op6_toxicity, op7_neighbours, op8_licenses, op9_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,11 +23,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes a table into the shared folder and reads it back: a short lineage that survives lost executors."""
+    """Writes a table into the shared folder and reads it back: a short lineage that survives lost executors.
+
+    The shuffle files of the plan that made it are of no more use then and are removed at once.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
