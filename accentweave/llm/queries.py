@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, neighbours, substring, templates, tokens, toxicity
+from . import decontaminate, jaccard, langid, mixing, neighbours, substring, templates, tokens, toxicity
 from . import license as licences
 
 
@@ -20,6 +20,10 @@ def _fold(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.fit(docs, _fold(4) != 2)
@@ -67,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard, op4_mixing, op5_substring_dedup, op6_toxicity, op7_neighbours, op8_licenses, op9_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_ngram_jaccard, op4_mixing, op5_substring_dedup, op6_toxicity, op7_neighbours, op8_licenses, op9_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
