@@ -244,11 +244,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest ``doc_id``; repeated rows count as copies.
+    """``docs`` with one document of each group, the one with the smallest ``doc_id``.
 
-    Rows with a null ``doc_id`` are kept.
+    Of rows with equal ``doc_id`` and text one stays; rows with a null ``doc_id`` are all kept.
     """
-    found = near_duplicates(docs, **options)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    first, _ = stash(near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct(), "first-of-group")
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_form", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "_form"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -237,6 +237,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents whose language the model rejects; trained on ``docs``' own ``lang``."""
+    """``docs`` without the documents whose language the model rejects; trained on ``docs``' own ``lang``.
+
+    Without any labelled row there is no model, and all rows stay.
+    """
     model = fit(docs, F.lit(True), **options)
+    if not model.languages:
+        return docs
     return identify(docs, model).where("lang_kept").select(*docs.columns)
