@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stash
+
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
 
@@ -98,9 +100,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: in
     ``slots`` is the length of the schedule and ``ranges`` the number of stretches of the shuffled order;
     both only set the grain, not the result's totals.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
-    turns = schedule(plan, slots)
+    sized, _ = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    plan, _ = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets")
+    turns, _ = stash(schedule(plan, slots), "schedule")
     plan = plan.join(turns.groupBy("rank").agg(F.count("*").alias("turns")), "rank", "left")
     placed = laid_out(sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop("source"), ranges)
 
