@@ -10,7 +10,7 @@ round, for at least ``agreement`` of them. Numbers may differ freely.
 
 A name is a capitalised word inside a sentence. The first word of a sentence may be one too, so every text
 has two templates, with such words as words and as names; each meets its like. Words run together as one
-name are one placeholder. A window needs ``literal`` words that are no placeholder. Items of fewer tokens
+name are one placeholder and stand for the last of them. A window needs ``literal`` words that are no placeholder. Items of fewer tokens
 than a window are one window of their own length, and such lengths are looked for as well.
 
 Before they are joined, the documents' windows pass a bitmap of fixed size (``1 << BITMAP_BITS``) of the
@@ -133,7 +133,7 @@ class Templates:
         more = name & np.concatenate([[False], name[:-1]]) & ~head
         keep = np.flatnonzero(~more)
         value = np.where(kind > 0, _PLACEHOLDER[kind], hashes)[keep]
-        slot = np.add.reduceat(mix(hashes + more), keep)
+        slot = mix(hashes[np.concatenate([keep[1:], [len(kind)]]) - 1])
         slot = np.where(kind[keep] > 0, slot >> np.uint64(2) << np.uint64(2) | kind[keep].astype(np.uint64), np.uint64(0))
         return value, slot, np.searchsorted(keep, first)
 
@@ -183,7 +183,8 @@ def document_windows(docs: DataFrame, shared, sizes: list[int], literal: int) ->
                 for v, (value, slot, at) in enumerate(variants):
                     for size in sizes:
                         hashes, start, row = _windows(value, slot, at, size, literal, v)
-                        hit = bitmap[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
+                        bit = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                        hit = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                         hashes, start, row = hashes[hit], start[hit], row[hit]
                         if len(hashes):
                             slots = np.lib.stride_tricks.sliding_window_view(slot, size)[start].view(np.int64)
@@ -219,8 +220,8 @@ def judge(rows: list[dict], tokens: dict[int, int], drift: int) -> tuple[float,
             if a & 3 in (UNIT, NAME):
                 there.setdefault(a, set()).add(b)
                 back.setdefault(b, set()).add(a)
-    maps = [*there.values(), *back.values()]
-    return covered, sum(len(m) == 1 for m in maps) / len(maps) if maps else 1.0, len(changed)
+    agreed = min((sum(len(m) == 1 for m in side.values()) / len(side) for side in (there, back) if side), default=1.0)
+    return covered, agreed, len(changed)
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = 6, literal: int = 3, least: int = 5, coverage: float = 0.5, agreement: float = 0.8, drift: int = 4) -> DataFrame:
@@ -232,8 +233,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 6, literal: int = 3,
     small_batches(spark)
     known, _ = stash(item_windows(items, window, literal, least), "item-windows")
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most ``window`` numbers
-    bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
-    bitmap[known.select(F.shiftrightunsigned("hash", 64 - BITMAP_BITS).alias("b")).distinct().toArrow()["b"].to_numpy()] = True  # at most 1 << BITMAP_BITS
+    bitmap = np.zeros(1 << BITMAP_BITS >> 3, dtype=np.uint8)
+    bits = known.select(F.shiftrightunsigned("hash", 64 - BITMAP_BITS).alias("b")).distinct().toArrow()["b"].to_numpy()  # at most 1 << BITMAP_BITS
+    np.bitwise_or.at(bitmap, bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
     found = document_windows(docs.select("form", "text"), spark.sparkContext.broadcast(bitmap), sizes, literal)
     met = found.join(known, "hash").groupBy("form", "item", "item_id").agg(
         F.collect_list(F.struct("variant", "size", "tokens", "place", "item_slots", "at", "doc_slots")).alias("rows"), F.countDistinct("place").alias("places"), F.max("size").alias("size"), F.min("tokens").alias("tokens")

@@ -65,7 +65,8 @@ def gram_buckets(data: np.ndarray, rows: np.ndarray, bits: int) -> Iterator[tupl
     folded = fold(data).astype(np.uint32)
     value = folded.copy()
     for n in range(2, max(SIZES) + 1):
-        value[:-1] = value[:-1] * np.uint32(257) + np.concatenate([folded[n - 1 :], np.zeros(n - 2, np.uint32)])
+        value *= np.uint32(257)
+        value[: max(0, len(folded) - n + 1)] += folded[n - 1 :]
         if n in SIZES:
             dead = folded == 0x20
             dead[:-1] &= folded[1:] == 0x20
@@ -196,7 +197,7 @@ def sample(docs: DataFrame, label: Column, per_label: int, seed: int) -> DataFra
     return labelled.join(F.broadcast(counts), "label").where(at < F.lit(float(per_label)) / F.col("n_label"))
 
 
-def fit(docs: DataFrame, trainable: Column, per_language: int = 800, bits: int = 15, seed: int = 7) -> Model:
+def fit(docs: DataFrame, trainable: Column, per_language: int = 400, bits: int = 15, seed: int = 7) -> Model:
     """Trains on rows of ``docs(doc_id, text, lang)`` for which ``trainable`` holds."""
     rows = sample(docs.where(trainable).select("doc_id", "text", "lang"), F.col("lang"), per_language, seed)
 
