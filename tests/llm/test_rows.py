@@ -1,0 +1,236 @@
+"""The operators that judge documents one by one, or by lines and items, against plain versions."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from accentweave.llm import decontaminate, langid, license, mixing, templates, tokens, toxicity
+
+from .conftest import DOC, prose
+
+
+def test_mix_takes_its_targets(corpus):
+    got = mixing.mix(corpus.withColumn("size", F.lit(1)).withColumn("target", F.lit("t"))).collect()
+    sources = {r["doc_id"]: r["source"] for r in corpus.collect()}
+    assert len(got) == corpus.count()
+    sizes = Counter()
+    for r in corpus.collect():
+        sizes[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weights, total = {s: 1 + k % 3 for k, s in enumerate(order)}, sum(sizes.values())
+    capped = set()
+    while True:
+        rest = total - sum(3 * sizes[s] for s in capped)
+        share = {s: rest * weights[s] / sum(weights[x] for x in order if x not in capped) for s in order if s not in capped}
+        over = {s for s in share if share[s] > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    target = {s: share.get(s, 3 * sizes[s]) for s in order}
+    taken = Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        if r["doc_id"] is not None:
+            s = sources[r["doc_id"]]
+            taken[s] += r["taken"]
+            assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s])
+    for s in order:
+        assert abs(taken[s] - target[s]) <= 10  # words of rows without a number are counted elsewhere
+    assert sorted(map(tuple, mixing.mix(corpus).collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_schedule_has_low_discrepancy(corpus, spark):
+    plan = spark.createDataFrame([(0, 100.0, 100), (1, 200.0, 200), (2, 700.0, 700)], "rank int, target double, quota long")
+    rows = sorted((r["slot"], r["rank"], r["turn"]) for r in mixing.schedule(plan, 1000).collect())
+    seen = Counter()
+    for n, (slot, rank, turn) in enumerate(rows, 1):
+        assert slot == n - 1 and turn == seen[rank]
+        seen[rank] += 1
+        assert all(abs(seen[k] - n * w) < 4 for k, w in ((0, 0.1), (1, 0.2), (2, 0.7)))
+
+
+def test_language_id(spark):
+    words = {"aa": "the and of with that", "bb": "der und die nicht mit", "cc": "que los para con una"}
+    rng = random.Random(0)
+    rows = [(k, " ".join(rng.choice(words[lang].split()) for _ in range(3 + k % 50)), lang) for k, lang in enumerate(list(words) * 60)]
+    rows += [(1000, None, "aa"), (1001, "123 ...", "bb"), (1002, "", None), (None, "the and of", "aa"), (1003, "the and of", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("zz"))
+    model = langid.fit(docs, F.col("doc_id") % 4 != 2)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert sum(got[k]["lang_pred"] == lang for k, _, lang in rows[:180]) >= 178
+    assert all(got[k]["lang_pred"] == "und" and got[k]["lang_score"] == 0 and not got[k]["lang_kept"] for k in (1000, 1001, 1002))
+    assert got[None]["lang_pred"] == "aa" and got[1003]["lang_pred"] == "aa"
+    assert all(0 <= r["lang_score"] <= 1 for r in got.values())
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {k for k, _, _ in rows[:180] if got[k]["lang_kept"]} - {None}
+
+
+def test_language_id_without_labels(spark, empty):
+    docs = spark.createDataFrame([(1, "a text", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert [r["lang_pred"] for r in langid.identify(docs, model).collect()] == ["und"]
+    assert langid.keep_identified(docs).count() == 1
+    assert langid.identify(empty, langid.fit(empty, F.lit(True))).count() == 0
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(5)
+    rows, marks = [], []
+    for k in range(300):
+        text = prose(k, 40)
+        if k % 3 == 0:
+            text[rng.randrange(40)] = rng.choice(["vile", "foul", "rotten"]) + rng.choice(["", "ish", "est"])
+        rows.append((k, " ".join(text), "en" if k % 2 else None))
+        marks.append((k, int(k % 3 == 0)))
+    rows += [(900, None, None), (901, "", "en"), (None, "so vile", "en"), (902, " ".join(prose(1, 3000)) + " foul", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("toxic", F.lit("x"))
+    labels = spark.createDataFrame([*marks, (0, 0), (3, None)], "doc_id long, label int")
+    model = toxicity.fit(docs, labels, F.col("doc_id") % 5 != 1)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert len(got) == len(rows) and all(0 <= r["tox_score"] <= 1 and r["toxic"] == (r["tox_score"] >= 0.7) for r in got.values())
+    held = [k for k in range(300) if k % 5 == 1]
+    assert sum(got[k]["toxic"] == (k % 3 == 0) for k in held) >= 0.95 * len(held)
+    assert got[900]["tox_score"] == got[901]["tox_score"] and got[902]["toxic"] == 1
+    assert toxicity.fit(docs, labels.where("label = 0"), F.lit(True)) is None
+    assert {r["tox_score"] for r in toxicity.score(docs, None).collect()} == {0.0}
+    assert toxicity.score(empty, model).count() == 0
+
+
+def plain_templates(rows, min_docs, depth, min_literal):
+    """Which line numbers each row loses."""
+    lines = []
+    for i, text in rows:
+        for n, line in enumerate((text or "").split("\n")):
+            tokens = re.findall(r"[^\x20\x09-\x0D]+", line)
+            if tokens:
+                lines.append((i, n, tuple("<*>" if re.search("[0-9]", t) else t for t in tokens)))
+    leaves = defaultdict(list)
+    for i, _, t in lines:
+        leaves[len(t), t[:depth]].append((i, t))
+    general = {}
+    for key, held in leaves.items():
+        if len({i for i, _ in held}) >= min_docs and len({t for _, t in held}) > 1:
+            fixed = []
+            for column in zip(*(t for _, t in held), strict=True):
+                token, votes = max(Counter(column).items(), key=lambda c: (c[1], c[0]))
+                fixed.append(token if 2 * votes > len(held) and token != "<*>" else None)
+            if sum(f is not None for f in fixed) >= min_literal * len(fixed) and any(f is not None for f in fixed):
+                general |= {t: key for _, t in held if all(f is None or f == x for f, x in zip(fixed, t, strict=True))}
+    docs = defaultdict(set)
+    for i, _, t in lines:
+        docs[t].add(i)
+        if t in general:
+            docs[general[t]].add(i)
+    return {(i, n) for i, n, t in lines if len(docs[t]) >= min_docs or (t in general and len(docs[general[t]]) >= min_docs)}
+
+
+def test_line_dedup_matches_plain_version(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        lines = [" ".join(prose(1000 + k, 8)), f"Page {k} of {k + 3} pages", f"Share this with {rng.choice(['ann', 'bob', 'cid', 'dan', 'eve'])} and all your friends", "Copyright notice line"[: 9 + k % 2 * 12], ""]
+        rng.shuffle(lines)
+        rows.append((k, "\n".join(lines)))
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "  Page\t7 of 9   pages  \nown line"), (None, "Page 1 of 2 pages\nnobody else"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("leaf", F.lit(1)).withColumn("line", F.lit("x"))
+    got = templates.dedup_lines(docs, min_docs=5)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
+    gone = plain_templates(rows, 5, 3, 0.6)
+    want = [(i, None if t is None else "\n".join(line for n, line in enumerate(t.split("\n")) if (i, n) not in gone)) for i, t in rows]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert all(r["n_dropped"] <= r["n_lines"] for r in got.collect())
+    first = {r["doc_id"]: r["n_dropped"] for r in templates.dedup_lines(docs, min_docs=5, keep_first=True).collect()}
+    assert first[0] == 0 and sum(first.values()) > 60
+
+
+def test_line_dedup_of_nothing(empty):
+    assert templates.dedup_lines(empty).count() == 0
+
+
+def test_licences(spark, empty):
+    mit = next(t for n, t in license.LICENCES if n == "MIT")
+    rows = [
+        (1, "MIT License text\n" * 0 + "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENSE")),
+        (2, "Prose before.\n  licensed UNDER the Apache Licence, version 2.0!\nProse after.\nAll rights reserved."),
+        (3, "This mentions that it was Released under the MIT License. in a longer line"),
+        *((4, None), (5, ""), (6, "Copyright 2020 Someone"), (None, "All Rights Reserved"), (7, "Released under the MIT License."), (7, "Released under the MIT License.")),
+    ]
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1))).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: (r["license_id"], r["notices"], r["n_notices"]) for r in got}
+    assert by[1][0] == "MIT" and by[2] == (None, "Apache-2.0,Proprietary", 2) and by[3] == (None, "", 0)
+    assert by[4] == (None, "", 0) and by[5] == (None, "", 0) and by[6] == (None, "", 0)
+    assert by[7] == ("MIT", "MIT", 2) and by[None] == ("Proprietary", "Proprietary", 1)
+    assert license.scan(empty).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 21, 64, 2])
+def test_token_counts_round_trip(corpus, spark, block_bytes):
+    encoding = tokens._encoding(tokens.VOCABULARY)
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in tokens.token_counts(corpus.where("length(text) < 3000 or text is null"), block_bytes=block_bytes).collect())
+    assert got == Counter((r["doc_id"], len(encoding.encode_ordinary(r["text"] or ""))) for r in corpus.collect() if r["text"] is None or len(r["text"]) < 3000)
+
+
+def test_token_scan_of_open_ends(spark, tmp_path, empty):
+    import numpy as np
+
+    def put(name, ids):
+        np.array(ids, dtype="<u2").tofile(tmp_path / name)
+
+    s = tokens.SEPARATOR
+    put("a.tokens", [1, 2, s, s, 3, s, 4, 5])
+    put("b.tokens", [7] * 9)
+    put("c.tokens", [])
+    files = tokens.token_files(spark, f"file://{tmp_path}")
+    got = tokens.document_lengths(tokens.scan_blocks(files, block_bytes=4))
+    found = sorted((r["file"][-8:], r["ordinal"], r["n_tokens"], r["complete"]) for r in got.collect())
+    assert found == [("a.tokens", 0, 2, True), ("a.tokens", 1, 0, True), ("a.tokens", 2, 1, True), ("a.tokens", 3, 2, False), ("b.tokens", 0, 9, False)]
+    assert tokens.token_counts(empty).count() == 0
+
+
+def test_decontamination(spark, empty):
+    items = [
+        (1, "Yesterday Anna bought 12 apples for 3 dollars each. How much did Anna pay for the apples in total?"),
+        (2, "A train leaves the old station at noon and runs 60 km every hour until evening comes."),
+        (3, "too short"),
+        (4, None),
+        (None, "an item without any number that no one can name or report"),
+        (5, ""),
+    ]
+    noise = " ".join(prose(1, 200))
+    docs = [
+        (10, f"{noise} {items[0][1]} {noise}"),
+        (11, f"{noise} Yesterday Marta bought 40 apples for 7 dollars each. How much did Marta pay for the apples in total? {noise}"),
+        (12, f"{noise} Yesterday Marta bought 40 apples for 7 dollars each. How much did Peter pay for the apples in total? {noise}"),
+        (13, f"{noise} a TRAIN leaves the old station, at noon; and runs 75 km every hour until evening comes!"),
+        *((14, noise), (15, None), (16, ""), (None, items[1][1]), (17, "too short"), (10, f"{noise} {items[0][1]} {noise}")),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(0)).withColumn("form", F.lit(0))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"], r["changed"]) for r in decontaminate.contaminated(table, benchmark).collect())
+    assert got == [(-1, 2, 0), (10, 1, 0), (10, 1, 0), (11, 1, 4), (13, 2, 1)]
+    clean = decontaminate.keep_clean(table, benchmark)
+    assert clean.columns == table.columns and sorted(r["doc_id"] for r in clean.collect()) == [12, 14, 15, 16, 17]
+    assert decontaminate.contaminated(table, benchmark.limit(0)).count() == 0
+    assert decontaminate.contaminated(empty, benchmark).count() == 0
+
+
+def test_pipeline_stages_keep_columns(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    corpus.withColumn("extra", F.lit("kept")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(prose(2, 30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert kept.columns == docs.columns
+        assert kept.count() <= docs.count()
+        docs = kept
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == docs.columns
+    assert DOC
