@@ -2,13 +2,15 @@
 
 Method. A text's set is its distinct shingles of ``k`` words, each a number whose first byte is the class of
 its frequency in the corpus and whose rest is a hash: ascending order of the numbers is one order for all
-sets, rare shingles first. Two sets of similarity ``t`` share one of the first ``n - ceil(t n) + 1``
-shingles of each, their prefix, so a link can only lie between texts that meet under a prefix shingle.
+sets, rare shingles first. Two sets of similarity ``t`` share at least ``m`` of the first
+``n - ceil(t n) + m`` shingles of each, their prefixes, so a link can only lie between texts that meet under
+that many prefix shingles; ``m`` is ``MEET``, or 1 if one of them is small. Of a given pair the overlap ``o`` it
+needs is known, and only meetings among the first ``n - o + m`` shingles of both count.
 
 Texts with equal sets are one class, found first. Then:
 
-1. Under each prefix shingle one class is the star's centre; each class is paired with the centre it meets
-   most often. Verified pairs are joined to components.
+1. Under each prefix shingle the class that meets most others in all is a star's centre; each class is paired
+   with the centre it meets most often. Verified pairs are joined to components.
 2. Under each prefix shingle only pairs of classes of different components are left; all of them are
    verified.
 
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,6 +44,8 @@ from .storage import small_batches, stash
 from .textscan import mix, shingle_hashes, word_hashes
 
 SKETCH_BITS = 18
+MEET = 4
+SMALL = 10
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -73,7 +77,12 @@ def needed(n: int, m: int, percent: int) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + (MEET if n >= SMALL else 1)
+
+
+def _enough(n: Column, m: Column) -> Column:
+    """How many prefix shingles sets of n and m must share to link."""
+    return F.when(F.least(n, m) >= SMALL, F.lit(MEET)).otherwise(F.lit(1))
 
 
 class PrefixTree:
@@ -132,11 +141,10 @@ def set_keys(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
-            sizes, nodes = [], []
-            for s in shingle_sets(b.column(1), k):
-                sizes.append(len(s))
-                nodes.append(digest(s) if len(s) else None)
-                np.add.at(total, buckets(s), 1)
+            sets = list(shingle_sets(b.column(1), k))
+            sizes, nodes = [len(s) for s in sets], [digest(s) if len(s) else None for s in sets]
+            if sets:
+                total += np.bincount(buckets(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "node", "counts"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], names=["doc_id", "n", "node", "counts"])
 
@@ -154,7 +162,7 @@ def set_keys(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def prefixes(docs: DataFrame, shared, k: int, percent: int) -> DataFrame:
-    """``(token, node, n)``: the prefix shingles of each distinct set; a task emits equal sets once."""
+    """``(token, node, n, pos)``: the prefix shingles of each distinct set; a task emits equal sets once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, done = shared.value, set()
@@ -167,9 +175,9 @@ def prefixes(docs: DataFrame, shared, k: int, percent: int) -> DataFrame:
                     nodes.append(node)
                     sizes.append(len(s))
             each = [len(t) for t in tokens[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(e, dtype=np.int32) for e in each)]))], names=["token", "node", "n", "pos"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(scan, "token long, node long, n int")
+    return docs.where("doc_id is not null").select("text").mapInArrow(scan, "token long, node long, n int, pos int")
 
 
 def _sets_of(docs: DataFrame, owners: DataFrame, shared, k: int) -> DataFrame:
@@ -216,25 +224,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keys, counts = set_keys(docs, k)
     shared = spark.sparkContext.broadcast(_classes(spark, counts))
     owners, _ = stash(keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "owners")
-    rows = prefixes(docs, shared, k, percent)
-    rows, _ = stash(rows, "prefixes")
-    meet = rows.groupBy("token").agg(F.min(F.struct("node", "n")).alias("centre"), F.max("node").alias("last")).where("centre.node <> last").select("token", "centre")
-    crowd, _ = stash(rows.join(meet, "token").select("token", "node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n")).distinct(), "crowd")
-
-    def fits(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    votes = crowd.where("node <> centre").where(fits("n", "centre_n")).groupBy("node", "centre").agg(F.count("*").alias("met"))
-    chosen = votes.groupBy("node").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre"))
+    under = Window.partitionBy("token")
+    rows = prefixes(docs, shared, k, percent).withColumn("low", F.min("node").over(under)).withColumn("high", F.max("node").over(under)).where("low <> high")
+    crowd, _ = stash(rows.select("token", "node", "n", "pos").distinct().withColumn("crowd", F.count("*").over(under)), "crowd")
+
+    def early(x: str, y: str) -> Column:
+        """Whether a meeting of ``x`` and ``y`` counts towards those that a link between them must have."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        spare = _enough(n, m) - F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(f"{x}.pos") < n + spare) & (F.col(f"{y}.pos") < m + spare)
+
+    reach = crowd.groupBy("node").agg(F.sum("crowd").alias("reach"))
+    ranked = crowd.join(reach, "node").withColumn("centre", F.max(F.struct("reach", "node", "n", "pos")).over(under))
+    pairs = ranked.select(F.struct("node", "n", "pos").alias("x"), F.col("centre").alias("y")).where("x.node <> y.node").where(early("x", "y"))
+    votes = pairs.groupBy("x.node", F.col("y.node").alias("centre"), "x.n", F.col("y.n").alias("m")).agg(F.count("*").alias("met"))
+    chosen = votes.where(F.col("met") >= _enough(F.col("n"), F.col("m"))).groupBy("node").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre"))
     first, _ = stash(verified(chosen.select(F.col("centre").alias("a"), F.col("node").alias("b")), docs, owners, shared, k, percent), "first-links")
     reached, _ = stash(components(first), "first-components")
 
-    placed = crowd.select("token", "node", "n").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = crowd.drop("crowd").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     open_rows, _ = stash(placed.join(mixed, "token"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits("x.n", "y.n")
-    rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & early("x", "y")
+    met = open_rows.alias("x").join(open_rows.alias("y"), apart).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("met"))
+    rest = met.where(F.col("met") >= _enough(F.col("n"), F.col("m"))).select("a", "b")
     second = verified(rest, docs, owners, shared, k, percent)
     roots, _ = stash(components(first.unionByName(second)), "components")
 
