@@ -29,8 +29,14 @@ _V = f"[{C.VOWELS}]"
 _NV = f"[^{C.VOWELS}]"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of fewer file splits than there are cores, dealt out evenly; a larger one as it is."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def _docs(spark: SparkSession, sf_dir: str, column: str = "t") -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).where("text is not null")
     return docs.select("doc_id", F.translate("text", LATIN + LATIN.upper(), CYRILLIC + CYRILLIC.upper()).alias(column))
 
 
