@@ -44,7 +44,18 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.posexplode_outer(W.words(F.col("t"))).alias("pos", "word")).where("word is not null")
 
 
+_VOCABULARIES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that dictionaries are made of, kept in the session as a dictionary's table would be on disk."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VOCABULARIES:
+        _VOCABULARIES[key] = _words(spark, sf_dir).persist()
+    return _VOCABULARIES[key]
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).select(F.lower("word").alias("word")).where(F.col("word").rlike(f"^[а-яё]+$") & (T.count_vowels(F.col("word")) > 0)).distinct()
 
 
