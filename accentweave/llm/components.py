@@ -18,6 +18,19 @@ def _stars(links: DataFrame) -> DataFrame:
     return small.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
 
 
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """``(node, root)`` of ``parents(node, parent)``, one row per node and no cycles: all pointers are doubled
+    until none moves, which takes the logarithm of the greatest depth. Roots are not among the nodes."""
+    spark = parents.sparkSession
+    now, path = stash(parents.select("node", F.col("parent").alias("root"), F.lit(True).alias("moved")), "pointers")
+    while now.where("moved").limit(1).count():
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new, new_path = stash(now.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "pointers")
+        discard(spark, path)
+        now, path = new, new_path
+    return now.select("node", "root")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)``: for each node of ``links(a, b)`` the smallest node it is connected to.
 
@@ -30,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if mark == seen or not mark[0]:
             break
         seen, old = mark, path
         now, path = stash(_stars(now), "links")

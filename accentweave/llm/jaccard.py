@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest_roots
 from .storage import small_batches, stash
 from .textscan import mix, shingle_hashes, word_hashes
 
@@ -239,8 +239,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = ranked.select(F.struct("node", "n", "pos").alias("x"), F.col("centre").alias("y")).where("x.node <> y.node").where(early("x", "y"))
     votes = pairs.groupBy("x.node", F.col("y.node").alias("centre"), "x.n", F.col("y.n").alias("m")).agg(F.count("*").alias("met"))
     chosen = votes.where(F.col("met") >= _enough(F.col("n"), F.col("m"))).groupBy("node").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre"))
-    first, _ = stash(verified(chosen.select(F.col("centre").alias("a"), F.col("node").alias("b")), docs, owners, shared, k, percent), "first-links")
-    reached, _ = stash(components(first), "first-components")
+    # A centre has a larger (reach, node) than those it is chosen by, so the links of this step are a forest.
+    first = verified(chosen.select(F.col("centre").alias("a"), F.col("node").alias("b")), docs, owners, shared, k, percent)
+    reached = forest_roots(first.select(F.col("b").alias("node"), F.col("a").alias("parent")))
 
     placed = crowd.drop("crowd").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
@@ -249,9 +250,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     met = open_rows.alias("x").join(open_rows.alias("y"), apart).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("met"))
     rest = met.where(F.col("met") >= _enough(F.col("n"), F.col("m"))).select("a", "b")
     second = verified(rest, docs, owners, shared, k, percent)
-    roots, _ = stash(components(first.unionByName(second)), "components")
 
-    named = keys.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    def at(column: str) -> DataFrame:
+        return reached.select(F.col("node").alias(column), F.col("root").alias(f"root_{column}"))
+
+    over = second.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    merged = components(over.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+
+    named = keys.join(reached, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    named = named.join(merged, "root", "left").select("doc_id", "n", F.coalesce("top", "root").alias("root"))
     smallest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
