@@ -278,7 +278,7 @@ def homograph_choice(spark, sf_dir):
 
 def subword_average(spark, sf_dir):
     """Words of pieces of three letters, with scores taken from the vectors by place."""
-    words = _docs(spark, sf_dir).where("doc_id < 50").select("doc_id", F.posexplode(F.filter(W.words(F.col("t")), lambda w: w.rlike("^[а-яА-ЯёЁ]+$"))).alias("k", "word"))
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.filter(W.words(F.col("t")), lambda w: w.rlike("^[а-яА-ЯёЁ]+$"))).alias("k", "word"))
     cut = words.select("doc_id", "k", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / 3)), lambda i: F.substring("word", i * 3 + 1, F.lit(3)))).alias("i", "piece"))
     tokens = cut.select(
         "doc_id",
@@ -366,7 +366,7 @@ _CAND = f"""(WITH s AS (SELECT doc_id, sent, {_sql_words('line')} AS w FROM {_LI
  e AS (SELECT doc_id, sent, w, unnest(w) AS word, unnest(range(len(w))) AS pos FROM s),
  c AS (SELECT e.*, o.variants, {_sql_close_up("array_to_string([CASE WHEN i - 1 = pos THEN ' <w>' || w[i] || '</w> ' ELSE w[i] END FOR i IN range(1, len(w) + 1)], ' ')")} AS marked FROM e JOIN {_OMO} o ON lower(e.word) = o.word)
  SELECT doc_id, sent, pos, marked, unnest(variants) AS variant, unnest(range(len(variants))) AS variant_no FROM c)"""
-_PIECES = f"""(WITH w AS (SELECT doc_id, [x FOR x IN {_sql_words('t')} IF regexp_matches(x, '^[а-яА-ЯёЁ]+$')] AS l FROM {_D} WHERE doc_id < 50),
+_PIECES = f"""(WITH w AS (SELECT doc_id, [x FOR x IN {_sql_words('t')} IF regexp_matches(x, '^[а-яА-ЯёЁ]+$')] AS l FROM {_D}),
  k AS (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS k FROM w)
  SELECT doc_id, k, i, substr(word, i * 3 + 1, 3) AS piece FROM k, unnest(range((length(word) - 1) // 3 + 1)) AS u(i))"""
 
