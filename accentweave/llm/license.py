@@ -4,7 +4,7 @@ Method. A text is made canonical: case folded, copyright lines removed, equivale
 punctuation turned into spaces, spaces collapsed. The SHA-256 of what remains is joined to the digests
 of known licences made canonical in the same way. Two kinds of whole text are looked up: the whole
 document, and every whole line of it (a licence notice is a one-line text). Only DataFrame functions
-are used; the known table is a fixed list, so its join is a broadcast of known size.
+are used.
 
 Edge cases. A null text has a null digest and no notices. An empty text, or one with nothing but
 copyright lines, has the digest of the empty string, which no licence has. Lines are counted with their
@@ -113,14 +113,17 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     ``license_id`` is the licence that the whole text is; ``notices`` joins by commas the distinct licences
     that whole lines of it are, ``n_notices`` counts those lines. ``known(license_id, text)`` defaults to
-    the fixed list. A line is hashed only if its length is that of some known text: no other can be equal.
+    the fixed list, which is broadcast; a line is then hashed only if its length is that of some known text, as no
+    other can be equal. A table that is given is joined as Spark sees fit.
     """
-    spark = docs.sparkSession
-    table = known_licences(spark, known)
-    lengths = table.select(F.col("chars").alias("n_chars")).distinct()
+    table = known_licences(docs.sparkSession, known)
     base = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     lined = base.select("doc_id", F.explode(F.split("lines", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
-    hits = lined.join(lengths, F.length("line") == F.col("n_chars"), "left_semi").select("doc_id", F.sha2("line", 256).alias("digest")).join(table.select("digest", "license_id"), "digest")
+    if known is None:
+        table = F.broadcast(table)
+        lengths = table.select(F.col("chars").alias("n_chars")).distinct()
+        lined = lined.join(F.broadcast(lengths), F.length("line") == F.col("n_chars"), "left_semi")
+    hits = lined.select("doc_id", F.sha2("line", 256).alias("digest")).join(table.select("digest", "license_id"), "digest")
     notices = hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notices"))
     texts = base.select("doc_id", F.sha2(whole(F.col("lines")), 256).alias("digest"))
     found = texts.join(table.select("digest", "license_id"), "digest", "left")
