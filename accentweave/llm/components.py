@@ -22,10 +22,10 @@ def forest_roots(parents: DataFrame) -> DataFrame:
     """``(node, root)`` of ``parents(node, parent)``, one row per node and no cycles: all pointers are doubled
     until none moves, which takes the logarithm of the greatest depth. Roots are not among the nodes."""
     spark = parents.sparkSession
-    now, path = stash(parents.select("node", F.col("parent").alias("root"), F.lit(True).alias("moved")), "pointers")
+    now, path = stash(parents.select("node", F.col("parent").alias("root"), F.lit(True).alias("moved")), "pointers", narrow=True)
     while now.where("moved").limit(1).count():
         up = now.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new, new_path = stash(now.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "pointers")
+        new, new_path = stash(now.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "pointers", narrow=True)
         discard(spark, path)
         now, path = new, new_path
     return now.select("node", "root")
@@ -39,13 +39,13 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the number of nodes. Only sums of links come to the driver.
     """
     spark = links.sparkSession
-    now, path = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now, path = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", narrow=True)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
         seen, old = mark, path
-        now, path = stash(_stars(now), "links")
+        now, path = stash(_stars(now), "links", narrow=True)
         discard(spark, old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select("doc_id", "text")
     keys, counts = set_keys(docs, k)
     shared = spark.sparkContext.broadcast(_classes(spark, counts))
-    owners, _ = stash(keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "owners")
+    owners = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     under = Window.partitionBy("token")
     rows = prefixes(docs, shared, k, percent).withColumn("low", F.min("node").over(under)).withColumn("high", F.max("node").over(under)).where("low <> high")
     crowd, _ = stash(rows.select("token", "node", "n", "pos").distinct().withColumn("crowd", F.count("*").over(under)), "crowd")
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     placed = crowd.drop("crowd").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_rows, _ = stash(placed.join(mixed, "token"), "open")
+    open_rows = placed.join(mixed, "token")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & early("x", "y")
     met = open_rows.alias("x").join(open_rows.alias("y"), apart).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("met"))
     rest = met.where(F.col("met") >= _enough(F.col("n"), F.col("m"))).select("a", "b")
@@ -268,6 +268,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of rows with equal ``doc_id`` and text one stays; rows with a null ``doc_id`` are all kept.
     """
-    first, _ = stash(near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct(), "first-of-group")
+    first, _ = stash(near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct(), "first-of-group", narrow=True)
     kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_form", F.xxhash64("text"))
     return kept.dropDuplicates(["doc_id", "_form"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

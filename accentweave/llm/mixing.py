@@ -101,8 +101,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: in
     both only set the grain, not the result's totals.
     """
     sized, _ = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    plan, _ = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets")
-    turns, _ = stash(schedule(plan, slots), "schedule")
+    plan, _ = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets", narrow=True)
+    turns, _ = stash(schedule(plan, slots), "schedule", narrow=True)
     plan = plan.join(turns.groupBy("rank").agg(F.count("*").alias("turns")), "rank", "left")
     placed = laid_out(sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop("source"), ranges)
 
