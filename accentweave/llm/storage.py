@@ -30,11 +30,12 @@ def stash(df: DataFrame, name: str, narrow: bool = False) -> tuple[DataFrame, st
     """Writes a table into the shared folder and reads it back: a short lineage that survives lost executors.
 
     The shuffle files of the plan that made it are of no more use then and are removed at once. A ``narrow``
-    table, of few rows of a few numbers each, takes an eighth of the files that shuffles have partitions.
+    table, of few rows of a few numbers each, is dealt to an eighth of as many files as shuffles have partitions;
+    what makes it keeps its own number of tasks.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = new_path(spark, name)
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
