@@ -189,17 +189,21 @@ def predict(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     return named, score, kept
 
 
-def sample(docs: DataFrame, label: Column, per_label: int, seed: int) -> DataFrame:
-    """Rows of ``docs(doc_id, text)`` with a ``label``: about ``per_label`` of each, chosen by a hash of ``doc_id``."""
-    labelled = docs.withColumn("label", label).where("label is not null and doc_id is not null and text is not null")
+def sample(rows: DataFrame, label: Column, per_label: int, seed: int) -> DataFrame:
+    """``(doc_id, label)``: about ``per_label`` rows of each label, chosen by a hash of ``doc_id``.
+
+    Texts are best left out of ``rows``: what is joined and shuffled here are numbers and labels.
+    """
+    labelled = rows.select("doc_id", label.alias("label")).where("label is not null and doc_id is not null")
     counts = labelled.groupBy("label").agg(F.count("*").alias("n_label"))
     at = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return labelled.join(F.broadcast(counts), "label").where(at < F.lit(float(per_label)) / F.col("n_label"))
+    return labelled.join(counts, "label").where(at < F.lit(float(per_label)) / F.col("n_label")).select("doc_id", "label").distinct()
 
 
 def fit(docs: DataFrame, trainable: Column, per_language: int = 400, bits: int = 15, seed: int = 7) -> Model:
     """Trains on rows of ``docs(doc_id, text, lang)`` for which ``trainable`` holds."""
-    rows = sample(docs.where(trainable).select("doc_id", "text", "lang"), F.col("lang"), per_language, seed)
+    chosen = sample(docs.where(trainable).select("doc_id", "lang"), F.col("lang"), per_language, seed)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # about per_language rows a language
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -212,7 +212,7 @@ def best_cut(z: np.ndarray, y: np.ndarray, default: float = 0.0) -> float:
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column, per_label: int = 2500, bits: int = 16, seed: int = 11) -> Model | None:
     """Trains on ``docs(doc_id, text, lang)`` with ``labels(doc_id, label)``, on rows for which ``trainable`` holds."""
     marks = labels.where("label is not null").groupBy("doc_id").agg(F.max("label").cast("string").alias("mark"))
-    chosen = sample(marks.where(trainable).withColumn("text", F.lit("")), F.col("mark"), per_label, seed).select("doc_id", "mark")
+    chosen = sample(marks.where(trainable), F.col("mark"), per_label, seed).withColumnRenamed("label", "mark")
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "mark", "lang", F.coalesce("text", F.lit("")).alias("text"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
