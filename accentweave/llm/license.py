@@ -3,8 +3,9 @@
 Method. A text is made canonical: case folded, copyright lines removed, equivalent spellings replaced,
 punctuation turned into spaces, spaces collapsed. The SHA-256 of what remains is joined to the digests
 of known licences made canonical in the same way. Two kinds of whole text are looked up: the whole
-document, and every whole line of it (a licence notice is a one-line text). Only DataFrame functions
-are used.
+document, and every whole line of it (a licence notice is a one-line text). A document that is no known
+text is looked up once more by its body, which is the text without licence titles and "all rights reserved" on
+lines of their own; known texts are reduced to bodies likewise. Only DataFrame functions are used.
 
 Edge cases. A null text has a null digest and no notices. An empty text, or one with nothing but
 copyright lines, has the digest of the empty string, which no licence has. Lines are counted with their
@@ -14,6 +15,9 @@ their notices are counted together. An empty table gives an empty result; other
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +85,27 @@ SPELLINGS = [
     ("organisation", "organization"),
     ("merchantibility", "merchantability"),
 ]
+# Lines that are nothing but a licence's title, in canonical form.
+TITLES = [
+    r"(the )?(mit|mit x11|x11|expat|isc|zlib|zlib libpng|0bsd|bsd)( license)( (mit|isc|zlib|expat|0bsd))?",
+    r"(the )?(new |modified |simplified |revised )?bsd( [0023])?( clause)?( simplified| new or revised| new| revised| modified)?( license)",
+    r"(the )?[23] clause bsd license",
+    r"(bsd )?zero clause bsd( license)?( 0bsd)?",
+    r"bsd zero clause license( 0bsd)?",
+    r"(the )?apache license( version 2 0)?( january 2004)?",
+    r"version 2 0 january 2004",
+    r"https? www apache org licenses( license 2 0)?",
+    r"gnu general public license( version [23])?( (june 1991|29 june 2007))?",
+    r"version (2 june 1991|3 29 june 2007)",
+    r"mozilla public license( version)? 2 0",
+    r"creative commons legal code",
+    r"(creative commons )?cc0 1 0 universal",
+    r"(creative commons )?attribution( sharealike)? 4 0 international( public license)?",
+]
+# One of these is in every title line, so that most texts need no search for them.
+_TITLE_WORDS = ("license", "all rights reserved", "january 2004", "june 1991", "june 2007", "legal code", "cc0 1 0", "zero clause bsd", "4 0 international")
+TEXTS = Path(__file__).with_name("licences")
+_TERMS_END = "END OF TERMS AND CONDITIONS"
 
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»–—…©\t\r\x0b\x0c\xa0"
 _COPYRIGHT = r"(?m)^[ \t\r]*(copyright\b(?! notice| holder| owner)|\(c\)|©)[^\n]*$"
@@ -100,33 +125,61 @@ def whole(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def known_licences(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """``(digest, chars, license_id)`` of ``known(license_id, text)`` or of the fixed list, one row per digest."""
+def _titled(lines: Column) -> Column:
+    """Whether some line may be a title."""
+    out = F.lit(False)
+    for words in _TITLE_WORDS:
+        out = out | lines.contains(words)
+    return out
+
+
+def body_lines(lines: Column) -> Column:
+    """Canonical lines without those that are only a licence's title or "all rights reserved"."""
+    return F.when(_titled(lines), F.regexp_replace(lines, f"(?m)^ *(?:{'|'.join(TITLES)}|all rights reserved) *$", "")).otherwise(lines)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Licences as they are usually laid down: with and without what follows their terms, and with bare list items."""
+    out = [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
+    out += [(name, text[: text.index(_TERMS_END)] + end) for name, text in out if _TERMS_END in text for end in ("", _TERMS_END)]
+    return out + [(name, re.sub(r"(?m)^ *[1-9]\.", "", text)) for name, text in out + LICENCES if name.startswith("BSD-")]
+
+
+def known_licences(spark: SparkSession, known: DataFrame | None = None, body: bool = False) -> DataFrame:
+    """``(digest, chars, license_id)`` of ``known(license_id, text)`` or of the fixed list, one row per digest.
+
+    With ``body`` digests are those of the bodies.
+    """
     if known is None:
-        known = spark.createDataFrame(NOTICES + LICENCES, "license_id string, text string")
-    canon = known.select("license_id", whole(canonical_lines(F.col("text"))).alias("canon")).where("canon <> ''")
+        known = spark.createDataFrame(NOTICES + LICENCES + full_texts(), "license_id string, text string")
+    lines = canonical_lines(F.col("text"))
+    canon = known.select("license_id", whole(body_lines(lines) if body else lines).alias("canon")).where("canon <> ''")
     return canon.groupBy(F.sha2("canon", 256).alias("digest"), F.length("canon").alias("chars")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``(doc_id, digest, license_id, notices, n_notices)``, a row for each row of ``docs(doc_id, text)``.
 
-    ``license_id`` is the licence that the whole text is; ``notices`` joins by commas the distinct licences
+    ``digest`` is that of the whole text and ``license_id`` the licence that the text or else its body is; ``notices`` joins by commas the distinct licences
     that whole lines of it are, ``n_notices`` counts those lines. ``known(license_id, text)`` defaults to
     the fixed list, which is broadcast; a line is then hashed only if its length is that of some known text, as no
     other can be equal. A table that is given is joined as Spark sees fit.
     """
     table = known_licences(docs.sparkSession, known)
+    bodies = known_licences(docs.sparkSession, known, body=True)
     base = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     lined = base.select("doc_id", F.explode(F.split("lines", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
     if known is None:
-        table = F.broadcast(table)
+        table, bodies = F.broadcast(table), F.broadcast(bodies)
         lengths = table.select(F.col("chars").alias("n_chars")).distinct()
         lined = lined.join(F.broadcast(lengths), F.length("line") == F.col("n_chars"), "left_semi")
     hits = lined.select("doc_id", F.sha2("line", 256).alias("digest")).join(table.select("digest", "license_id"), "digest")
     notices = hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notices"))
-    texts = base.select("doc_id", F.sha2(whole(F.col("lines")), 256).alias("digest"))
-    found = texts.join(table.select("digest", "license_id"), "digest", "left")
+    texts = base.select("doc_id", "lines", F.sha2(whole(F.col("lines")), 256).alias("digest"))
+    body = F.when(_titled(F.col("lines")), F.sha2(whole(body_lines(F.col("lines"))), 256)).otherwise(F.col("digest"))
+    texts = texts.select("doc_id", "digest", body.alias("body"))
+    found = texts.join(table.select("digest", "license_id"), "digest", "left").join(bodies.select(F.col("digest").alias("body"), F.col("license_id").alias("body_id")), "body", "left")
+    found = found.select("doc_id", "digest", F.coalesce("license_id", "body_id").alias("license_id"))
     return (
         found.alias("d")
         .join(notices.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")), "left")

@@ -167,6 +167,31 @@ def test_licences(spark, empty):
     assert license.scan(empty).count() == 0
 
 
+def test_licence_files(spark):
+    short, full = dict(license.LICENCES), dict(license.full_texts()[: len(list(license.TEXTS.glob("*.txt")))])
+    owner = "Copyright (c) 2020 Someone\n"
+    rows = [
+        ("MIT", f"MIT License\n\n{owner}\n{short['MIT']}"),
+        ("MIT", f"The MIT License (MIT)\r\n\r\n{owner}All rights reserved.\r\n\r\n{short['MIT']}"),
+        ("ISC", f"ISC License\n\n{owner}\n{short['ISC']}"),
+        ("BSD-2-Clause", f"BSD 2-Clause License\n\n{owner}All rights reserved.\n\n{short['BSD-2-Clause']}"),
+        ("BSD-3-Clause", f"# The 3-Clause BSD License\n{owner}\n{full['BSD-3-Clause'].replace('1. ', '* ').replace('2. ', '* ').replace('3. ', '* ')}"),
+        ("Apache-2.0", full["Apache-2.0"].split("   APPENDIX")[0]),
+        ("Apache-2.0", full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Someone")),
+        ("Apache-2.0", full["Apache-2.0"].split("\n", 4)[4]),
+        *full.items(),
+        (None, "MIT License\nAll rights reserved."),
+        (None, f"MIT License\n{owner}{short['MIT']}\nAnd one more condition."),
+        ("Proprietary", "All rights reserved."),
+    ]
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license.scan(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0"} <= set(full)
+    known = spark.createDataFrame([("X", "Zlib License\nDo as you like with it.")], "license_id string, text string")
+    assert license.scan(spark.createDataFrame([(1, "Do as you like with it.")], "doc_id long, text string"), known).first()["license_id"] == "X"
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 21, 64, 2])
 def test_token_counts_round_trip(corpus, spark, block_bytes):
     encoding = tokens._encoding(tokens.VOCABULARY)
