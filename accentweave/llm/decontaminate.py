@@ -193,23 +193,23 @@ def document_windows(docs: DataFrame, shared, sizes: list[int], literal: int) ->
     return docs.mapInArrow(scan, "hash long, form long, at int, doc_slots array<long>")
 
 
-def judge(rows: list[dict], tokens: dict[int, int], drift: int) -> tuple[float, float, int]:
-    """Coverage, slot consistency and changed slots on the diagonals that cover an item best."""
-    best: tuple[float, list[dict]] = (0.0, [])
-    for variant in {r["variant"] for r in rows}:
-        own = sorted((r for r in rows if r["variant"] == variant), key=lambda r: r["at"] - r["place"])
-        diagonals = [r["at"] - r["place"] for r in own]
-        low = 0
-        for high in range(len(own)):
-            while diagonals[high] - diagonals[low] > drift:
-                low += 1
-            if high + 1 < len(own) and diagonals[high + 1] - diagonals[low] <= drift:
-                continue
-            near = own[low : high + 1]
-            covered = len({p for r in near for p in range(r["place"], r["place"] + r["size"])}) / tokens[variant]
-            if covered > best[0]:
-                best = (covered, near)
-    covered, near = best
+def _runs(rows: list[dict], drift: int) -> Iterator[list[dict]]:
+    """Windows of one variant whose diagonals are at most ``drift`` apart, then those of each diagonal alone."""
+    own = sorted(rows, key=lambda r: r["at"] - r["place"])
+    diagonals = [r["at"] - r["place"] for r in own]
+    low = 0
+    for high in range(len(own)):
+        while diagonals[high] - diagonals[low] > drift:
+            low += 1
+        if high + 1 == len(own) or diagonals[high + 1] - diagonals[low] > drift:
+            yield own[low : high + 1]
+    if own and diagonals[0] != diagonals[-1]:
+        edges = [0, *(k for k in range(1, len(own)) if diagonals[k] != diagonals[k - 1]), len(own)]
+        yield from (own[i:j] for i, j in zip(edges, edges[1:]))
+
+
+def _consistency(near: list[dict]) -> tuple[float, int]:
+    """Slot consistency and changed slots of a run of windows."""
     there: dict[int, set[int]] = {}
     back: dict[int, set[int]] = {}
     changed = set()
@@ -220,8 +220,20 @@ def judge(rows: list[dict], tokens: dict[int, int], drift: int) -> tuple[float,
             if a & 3 in (UNIT, NAME):
                 there.setdefault(a, set()).add(b)
                 back.setdefault(b, set()).add(a)
-    agreed = min((sum(len(m) == 1 for m in side.values()) / len(side) for side in (there, back) if side), default=1.0)
-    return covered, agreed, len(changed)
+    return min((sum(len(m) == 1 for m in side.values()) / len(side) for side in (there, back) if side), default=1.0), len(changed)
+
+
+def judge(rows: list[dict], tokens: dict[int, int], drift: int, coverage: float, agreement: float) -> tuple[float, float, int] | None:
+    """Coverage, slot consistency and changed slots of the run that covers an item best of those that pass both limits."""
+    best = None
+    for variant in sorted({r["variant"] for r in rows}):
+        for near in _runs([r for r in rows if r["variant"] == variant], drift):
+            covered = len({p for r in near for p in range(r["place"], r["place"] + r["size"])}) / tokens[variant]
+            if covered >= coverage and (best is None or covered >= best[0]):
+                agreed, changed = _consistency(near)
+                if agreed >= agreement and (best is None or (covered, -changed) > (best[0], -best[2])):
+                    best = (covered, agreed, changed)
+    return best
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = 6, literal: int = 3, least: int = 5, coverage: float = 0.5, agreement: float = 0.8, drift: int = 4) -> DataFrame:
@@ -246,8 +258,8 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 6, literal: int = 3,
         for b in batches:
             out = []
             for row in b.to_pylist():
-                got = judge(row["rows"], {r["variant"]: r["tokens"] for r in row["rows"]}, drift)
-                if got[0] >= coverage and got[1] >= agreement:
+                got = judge(row["rows"], {r["variant"]: r["tokens"] for r in row["rows"]}, drift, coverage, agreement)
+                if got:
                     out.append((row["form"], row["item_id"], *got))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]

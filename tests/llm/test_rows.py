@@ -243,6 +243,18 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, benchmark).count() == 0
 
 
+def test_decontamination_behind_look_alikes(spark):
+    item = "Yesterday Anna bought 12 apples for 3 dollars each. How much did Anna pay for the apples in total?"
+    alike = "Yesterday Marta bought 40 apples for 7 dollars each. How much did Peter pay for the apples in total?"
+    noise = " ".join(prose(1, 200))
+    docs = [(1, f"{noise} {alike} {noise} {item} {noise}"), (2, f"{alike} {alike} {item}"), (3, f"{item} {noise} {alike}"), (4, f"{alike} {noise} {alike}")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["coverage"], r["consistency"], r["changed"]) for r in decontaminate.contaminated(table, benchmark).collect()}
+    assert got == {k: (1.0, 1.0, 0) for k in (1, 2, 3)}
+    assert [r["doc_id"] for r in decontaminate.keep_clean(table, benchmark).collect()] == [4]
+
+
 def test_pipeline_stages_keep_columns(spark, corpus, tmp_path):
     import corpus_pipeline
 
