@@ -255,6 +255,17 @@ def test_decontamination_behind_look_alikes(spark):
     assert [r["doc_id"] for r in decontaminate.keep_clean(table, benchmark).collect()] == [4]
 
 
+def test_decontamination_of_items_without_windows(spark):
+    items = ["What is 17 + 25?", "Anna Bell, Carl Dorn, Emil Frey and Gerd Hahn.", "12 45 78 90 11 13 15", "東京は日本の首都ですか。", "ประเทศไทยมีกี่จังหวัด", "水是什么", "Anna met Bob, Carl, Dan, Eve, Finn, Gus and all the others of Harrow, Ivy, Jura, Kent, Lund, Metz, Nice, Oslo, Pisa"]
+    noise = " ".join(prose(1, 200))
+    docs = [*enumerate(items), *((10 + k, f"{noise} {text} {noise}") for k, text in enumerate(items)), (20, "What is 17 + 26?"), (21, "what is 17"), (22, "12 45 78 90 11 13 16"), (23, f"昨日、{items[3]}と聞いた。"), (24, "水是什"), (25, noise)]
+    docs += [(26, "\n".join(["What is 17 + 25?"] * 3))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table, benchmark).collect())
+    assert got == [*((k, k) for k in range(len(items))), *((10 + k, k) for k in range(len(items))), (23, 3), (26, 0)]
+
+
 def test_pipeline_stages_keep_columns(spark, corpus, tmp_path):
     import corpus_pipeline
 
