@@ -5,7 +5,8 @@ token with a digit counts as a variable field ``<*>``. Each leaf holds the lines
 whose lines come from at least ``min_docs`` documents is generalised: a position where no token has the
 majority of the leaf's lines becomes a field, and lines that agree with all other positions share the
 leaf's template, provided that at least ``min_literal`` of its positions stay literal. Every other line
-is its own template, fields masked. Templates found in ``min_docs`` documents or more are dropped
+is its own template, fields masked; but where less than ``min_literal`` of its tokens are literal, as in rows of
+numbers, it stands for nothing but its own text, unmasked. Templates found in ``min_docs`` documents or more are dropped
 wherever they occur, or everywhere but in the first document that has them.
 
 Lines travel as hashes; their tokens are only read again for leaves that can be generalised. Counts are
@@ -27,25 +28,53 @@ from .storage import stash
 FIELD = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens joined by one space, those with a digit as fields. Most lines need neither expression."""
+def _plain(line: Column) -> Column:
+    """The line's tokens joined by one space."""
     odd = line.contains("  ")
     for c in "\t\x0b\x0c\r":
         odd = odd | line.contains(c)
-    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(plain)
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+
+
+def _fields(plain: Column) -> Column:
+    """Tokens with a digit become fields."""
+    return F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)
+
+
+def _masked(line: Column) -> Column:
+    """The line's tokens joined by one space, those with a digit as fields. Most lines need neither expression."""
+    return F.when(line.rlike("[0-9]"), _fields(_plain(line))).otherwise(_plain(line))
+
+
+def _tokens(masked: Column) -> Column:
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+
+
+def _bare(masked: Column, min_literal: float) -> Column:
+    """Whether too few of the tokens are literal for the masked line to be a template."""
+    return _tokens(masked) - F.regexp_count(masked, F.lit(r"(?<![^ ])<\*>(?![^ ])")) < F.lit(min_literal) * _tokens(masked)
+
+
+def _key(line: Column, min_literal: float) -> Column:
+    """The hash by which a line is counted and dropped: of its own template, or of its text where that is bare."""
+    plain = _plain(line)
+    return F.when(line.rlike("[0-9]"), F.when(_bare(_fields(plain), min_literal), F.xxhash64(plain)).otherwise(F.xxhash64(_fields(plain)))).otherwise(F.xxhash64(plain))
 
 
 def _filled(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def lines_of(docs: DataFrame, depth: int = 3) -> DataFrame:
-    """``(doc_id, masked, leaf, line)``: every line that is not blank, its leaf and its own template's hash."""
+def lines_of(docs: DataFrame, depth: int = 3, min_literal: float = 0.6) -> DataFrame:
+    """``(doc_id, masked, leaf, line, text_key)``: every line that is not blank, its leaf and its own template's hash.
+
+    ``text_key`` is the hash of the line's text if its template has too few literal tokens, and null otherwise.
+    """
     raw = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).where(_filled(F.col("raw")))
-    masked = raw.select("doc_id", _masked(F.col("raw")).alias("masked"))
-    count = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    return masked.select("doc_id", "masked", F.xxhash64(count, F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("line"))
+    masked = raw.select("doc_id", "raw", _masked(F.col("raw")).alias("masked"))
+    leaf = F.xxhash64(_tokens(F.col("masked")), F.substring_index("masked", " ", depth))
+    text_key = F.when(F.col("masked").contains(FIELD) & _bare(F.col("masked"), min_literal), F.xxhash64(_plain(F.col("raw"))))
+    return masked.select("doc_id", "masked", leaf.alias("leaf"), F.xxhash64("masked").alias("line"), text_key.alias("text_key"))
 
 
 def _document_counts(rows: DataFrame, key: str) -> DataFrame:
@@ -75,16 +104,17 @@ def leaf_templates(docs: DataFrame, forms: DataFrame, depth: int, min_literal: f
 
 
 def recurring(docs: DataFrame, keys: DataFrame, min_docs: int, depth: int, min_literal: float) -> DataFrame:
-    """``(line, first_doc)``: the hash of every masked line whose template recurs, and the first document with it.
+    """``(line, first_doc)``: the key of every line whose template recurs, and the first document with it.
 
-    ``keys(doc_id, leaf, line)`` are the lines of ``docs``, stashed.
+    ``keys(doc_id, leaf, line, text_key)`` are the lines of ``docs``, stashed. Bare lines vote in their leaf, but as no
+    template agrees with them, only their texts recur.
     """
     kinds = keys.groupBy("leaf", "line").agg(F.count("*").alias("weight"), F.min("doc_id").alias("rep"))
     many = kinds.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.sum("weight").alias("n")).where((F.col("n_lines") > 1) & (F.col("n") >= min_docs)).select("leaf")
     wide = _document_counts(keys.join(many, "leaf"), "leaf").where(F.col("n_docs") >= min_docs).select("leaf")
     forms, _ = stash(kinds.join(wide, "leaf"), "line-forms")
     general, _ = stash(leaf_templates(docs, forms, depth, min_literal), "line-leaves")
-    own = _document_counts(keys, "line").where(F.col("n_docs") >= min_docs).select("line", "first_doc")
+    own = _document_counts(keys.select("doc_id", F.coalesce("text_key", "line").alias("line")), "line").where(F.col("n_docs") >= min_docs).select("line", "first_doc")
     leaves = _document_counts(keys.join(general, ["leaf", "line"]), "leaf").where(F.col("n_docs") >= min_docs).select("leaf", "first_doc")
     by_leaf = general.join(leaves, "leaf").select("line", "first_doc")
     return own.unionByName(by_leaf).groupBy("line").agg(F.min("first_doc").alias("first_doc"))
@@ -96,14 +126,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_literal
     ``n_lines`` counts the lines that are not blank. With ``keep_first`` the smallest ``doc_id`` that has
     a template keeps its lines.
     """
-    keys, _ = stash(lines_of(docs, depth).select("doc_id", "leaf", "line"), "line-keys")
-    gone = keys.join(recurring(docs, keys, min_docs, depth, min_literal), "line")
+    keys, _ = stash(lines_of(docs, depth, min_literal).select("doc_id", "leaf", "line", "text_key"), "line-keys")
+    gone = keys.select("doc_id", F.coalesce("text_key", "line").alias("line")).join(recurring(docs, keys, min_docs, depth, min_literal), "line")
     if keep_first:
         gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     sets = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
     joined = docs.alias("d").join(sets.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", "g._gone")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda raw: ~F.array_contains("_gone", F.xxhash64(_masked(raw))))
+    kept = F.filter(parts, lambda raw: ~F.array_contains("_gone", _key(raw, min_literal)))
     out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept).otherwise(parts))
     filled = lambda column: F.coalesce(F.size(F.filter(column, _filled)), F.lit(0)).cast("long")
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(filled(parts)))

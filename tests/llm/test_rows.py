@@ -146,6 +146,15 @@ def test_line_dedup_matches_plain_version(spark):
     assert first[0] == 0 and sum(first.values()) > 60
 
 
+def test_line_dedup_of_numbers(spark):
+    rows = [(k, f"2{k:03}\n{k + 50} {k + 1} {k + 2}\nrow {k},5\n7 8 9\n 1999 \nPage {k} of 40 pages\n<*> <*>\nown {'abcdefghijklmnop'[k]}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in templates.dedup_lines(docs).collect()}
+    assert got == {k: (f"2{k:03}\n{k + 50} {k + 1} {k + 2}\nrow {k},5\nown {'abcdefghijklmnop'[k]}", 8, 4) for k in range(12)}
+    kept = {r["doc_id"]: r["n_dropped"] for r in templates.dedup_lines(docs, keep_first=True).collect()}
+    assert kept == {k: 4 if k else 0 for k in range(12)}
+
+
 def test_line_dedup_of_nothing(empty):
     assert templates.dedup_lines(empty).count() == 0
 
