@@ -4,8 +4,9 @@ Method. A word is the sum of hashed embeddings: of the word and of its first 4,
 several widths run over the words of the whole text; each filter's largest response goes into a logistic
 layer. One component of the
 embeddings starts from the words' log odds; everything is then trained together by gradient descent on about ``per_label`` texts of each label. Every fifth
-of those is left out to calibrate: for each language a threshold with the best F1, in the middle of the
-gap it leaves, and one slope. The score is scaled so that it reaches 0.7 at its language's threshold.
+of those is left out. On these and all other trainable texts with a label, in the shares of labels that they have,
+it is calibrated: for each language a threshold with the best F1, in the middle of the gap it leaves, and one slope.
+Only counts of logits, in steps of 1/256, come back for that. The score is scaled so that it reaches 0.7 at its language's threshold.
 The language is itself read off the text's words, by hashed word frequencies learnt from the same rows.
 
 Scoring runs the filters once per distinct word of a chunk of text, so its memory follows the longest
@@ -20,7 +21,7 @@ held out. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .textscan import BYTE_VALUE, mix, powers, row_chunks, span_hashes, texts_of
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6)
 CUT = 0.7
+# Logits are counted in so many steps a unit, up to so many units on both sides of 0.
+STEPS, SPAN = 256, 64
 
 
 @dataclass(frozen=True)
@@ -115,11 +118,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None], bits: int, dim: int = 12, filters: int = 8, epochs: int = 6, rate: float = 0.1, batch: int = 32, seed: int = 11) -> Model:
-    """``texts``: each text's distinct words' buckets and its words' numbers among them."""
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None], bits: int, dim: int = 12, filters: int = 8, epochs: int = 6, rate: float = 0.1, batch: int = 32, seed: int = 11) -> tuple[Model, np.ndarray]:
+    """A model that is not calibrated, and which texts it is fitted on: all but every fifth.
+
+    ``texts``: each text's distinct words' buckets and its words' numbers among them.
+    """
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
-    held, fit = order[::5], np.array([k for i, k in enumerate(order) if i % 5])
+    fit = np.array([k for i, k in enumerate(order) if i % 5])
     emb = rng.normal(0, 0.02, (1 << bits, dim)).astype(np.float32)
     emb[:, 0] = log_odds([texts[k][0] for k in fit], labels[fit], bits)
     banks = [rng.normal(0, 0.1, (w, dim, filters)).astype(np.float32) for w in WIDTHS]
@@ -174,17 +180,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
         if langs[k] is not None:
             np.add.at(counts[:, names.index(langs[k])], texts[k][0][texts[k][1], 0], 1)
     logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    raw = Model(bits, emb, banks, bias, out, out_bias, names, logs, np.zeros(len(names)), 1.0)
-    z, lang = np.zeros(len(held)), np.zeros(len(held), dtype=int)
-    for k in range(0, len(held), batch):
-        got = gathered(held[k : k + batch])
-        z[k : k + batch], lang[k : k + batch] = _logits(raw, *got), _language(raw, *got)
-    y = labels[held]
-    every = best_cut(z, y)
-    thresholds = np.array([best_cut(z[lang == k], y[lang == k], every) for k in range(len(names))])
-    gap = z - thresholds[lang]
-    slope = min((0.05 * 1.2**k for k in range(40)), key=lambda s: -np.log(np.maximum(np.where(y == 1, _sigmoid(s * gap), _sigmoid(-s * gap)), 1e-12)).mean() + 1e-3 * s)
-    return Model(bits, emb, banks, bias, out, out_bias, names, logs, thresholds, slope)
+    return Model(bits, emb, banks, bias, out, out_bias, names, logs, np.zeros(len(names)), 1.0), fit
 
 
 def log_odds(bags: list[np.ndarray], labels: np.ndarray, bits: int, prior: float = 2.0) -> np.ndarray:
@@ -198,19 +194,57 @@ def log_odds(bags: list[np.ndarray], labels: np.ndarray, bits: int, prior: float
     return (odds * counts.sum(axis=0) / (counts.sum(axis=0) + prior) / 4).astype(np.float32)
 
 
-def best_cut(z: np.ndarray, y: np.ndarray, default: float = 0.0) -> float:
-    """The logit from which on label 1 has the best F1, in the middle of the gap around it."""
-    if not len(z) or y.min() == y.max():
+def best_cut(clean: np.ndarray, toxic: np.ndarray, default: float = 0.0) -> float:
+    """The logit from which on label 1 has the best F1, in the middle of the gap around it, from counts by step."""
+    if not clean.sum() or not toxic.sum():
         return default
-    order = np.argsort(-z, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + y.sum())
+    used = np.flatnonzero(clean + toxic)[::-1]
+    f1 = 2 * np.cumsum(toxic[used]) / (np.cumsum((clean + toxic)[used]) + toxic.sum())
     k = int(f1.argmax())
-    return float(z[order[k]] + z[order[k + 1]]) / 2 if k + 1 < len(z) else float(z[order[k]]) - 1e-6
+    low = used[k] / STEPS - SPAN
+    return float(low + (used[k + 1] + 1) / STEPS - SPAN) / 2 if k + 1 < len(used) else float(low) - 1e-6
+
+
+def calibrate(docs: DataFrame, marks: DataFrame, fitted: DataFrame, model: Model) -> Model:
+    """Thresholds and slope from all rows of ``docs(doc_id, text)`` with ``marks(doc_id, mark)`` but those ``fitted(doc_id)``.
+
+    Texts are scored where they are; only their logits meet the marks.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = shared.value
+        for batch in batches:
+            step, lang = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+            for i, buckets, number, rows in word_ids(batch.column(1), raw.bits):
+                own = slice(i, i + len(rows) - 1)
+                step[own] = np.clip(np.floor((_logits(raw, buckets, number, rows) + SPAN) * STEPS), 0, 2 * SPAN * STEPS - 1)
+                lang[own] = _language(raw, buckets, number, rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lang), pa.array(step)], names=["doc_id", "number", "step"])
+
+    rows = docs.join(F.broadcast(fitted), "doc_id", "left_anti").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = rows.mapInArrow(run, "doc_id long, number int, step int").join(marks, "doc_id")
+    counts = found.groupBy("number", (F.col("mark").cast("int") > 0).cast("int").alias("toxic"), "step").agg(F.count("*").alias("n")).toArrow()
+    seen = np.zeros((len(model.languages), 2, 2 * SPAN * STEPS))
+    seen[tuple(counts[c].to_numpy() for c in ("number", "toxic", "step"))] = counts["n"].to_numpy()
+    every = best_cut(*seen.sum(axis=0))
+    thresholds = np.array([best_cut(*own, every) for own in seen])
+    lang, toxic, step = np.nonzero(seen)
+    if not len(step):
+        return replace(model, thresholds=thresholds)
+    weight, gap = seen[lang, toxic, step], (step + 0.5) / STEPS - SPAN - thresholds[lang]
+    side = np.where(toxic == 1, gap, -gap)
+    slope = min((0.05 * 1.2**k for k in range(40)), key=lambda s: -np.average(np.log(np.maximum(_sigmoid(s * side), 1e-12)), weights=weight) + 1e-3 * s)
+    return replace(model, thresholds=thresholds, slope=slope)
 
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column, per_label: int = 2500, bits: int = 16, seed: int = 11) -> Model | None:
-    """Trains on ``docs(doc_id, text, lang)`` with ``labels(doc_id, label)``, on rows for which ``trainable`` holds."""
+    """Trains on ``docs(doc_id, text, lang)`` with ``labels(doc_id, label)``, on rows for which ``trainable`` holds.
+
+    Weights are learnt from a sample of about ``per_label`` rows of each label, thresholds from all other rows.
+    """
     marks = labels.where("label is not null").groupBy("doc_id").agg(F.max("label").cast("string").alias("mark"))
     chosen = sample(marks.where(trainable), F.col("mark"), per_label, seed).withColumnRenamed("label", "mark")
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "mark", "lang", F.coalesce("text", F.lit("")).alias("text"))
@@ -234,7 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, per_label: int =
         flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
         parts.append([flat[at[k] : at[k + 1]] for k in range(len(y))])
     texts = [(a.reshape(-1, len(PREFIXES) + 1), b) for a, b in zip(*parts, strict=True)]
-    return train(texts, y, got["lang"].to_pylist(), bits, seed=seed)
+    model, used = train(texts, y, got["lang"].to_pylist(), bits, seed=seed)
+    fitted = docs.sparkSession.createDataFrame([(k,) for k in set(got["doc_id"].take(pa.array(used)).to_pylist())], "doc_id long")
+    return calibrate(docs.where(trainable).select("doc_id", "text"), marks, fitted, model)
 
 
 def scores(column: pa.Array, model: Model | None) -> np.ndarray:

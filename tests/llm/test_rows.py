@@ -99,6 +99,26 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_thresholds_see_the_true_shares(spark):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for k in range(4000):
+        toxic = k % 20 == 0
+        text = prose(k, 12)
+        # Half of the toxic texts, and one clean text of eight, hold a mild word; at even shares it would mark a toxic text.
+        if toxic and k % 40 == 0:
+            text[rng.randrange(12)] = "vile"
+        elif toxic or rng.random() < 0.125:
+            text[rng.randrange(12)] = "murky"
+        rows.append((k, " ".join(text), "en"))
+        marks.append((k, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, label int")
+    model = toxicity.fit(docs, labels, F.lit(True), per_label=150)
+    flagged = [r["doc_id"] for r in toxicity.score(docs, model).where("toxic = 1").collect()]
+    assert sum(k % 20 == 0 for k in flagged) >= 0.8 * len(flagged) > 0
+
+
 def plain_templates(rows, min_docs, depth, min_literal):
     """Which line numbers each row loses."""
     lines = []
