@@ -13,7 +13,7 @@ not one task's work.
 
 Edge cases. Null, empty and blank texts have size 0 and are taken 0 times. A null source is a source of
 its own, the last in order. Repeated rows count each for itself; rows with equal ``doc_id`` and source
-share one place in the order and are told apart by size. Rows with a null ``doc_id`` take part. An
+share one place in the order. Rows with a null ``doc_id`` take part. An
 empty table gives an empty result.
 """
 
@@ -94,13 +94,12 @@ def laid_out(sized: DataFrame, ranges: int = 1024) -> DataFrame:
     return keyed.join(earlier, ["rank", "range"]).withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("before")).drop("key", "range", "before")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, slots: int = 1 << 16, ranges: int = 1024) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``, a row for each row of ``docs(doc_id, text, source)``.
+def _pieces(docs: DataFrame, weights: tuple[float, ...], max_repeats: int, slots: int, ranges: int) -> DataFrame:
+    """``(row, doc_id, size, source_size, target, slot, copy, begin, words)``: what each slot's block takes of each row.
 
-    ``slots`` is the length of the schedule and ``ranges`` the number of stretches of the shuffled order;
-    both only set the grain, not the result's totals.
+    ``row`` tells all rows apart. Rows of which nothing is taken are there as well, with 0 words.
     """
-    sized, _ = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized, _ = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
     plan, _ = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets", narrow=True)
     turns, _ = stash(schedule(plan, slots), "schedule", narrow=True)
     plan = plan.join(turns.groupBy("rank").agg(F.count("*").alias("turns")), "rank", "left")
@@ -119,5 +118,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: in
     low = F.floor(F.col("turn") * F.col("quota") / F.col("turns"))
     high = F.floor((F.col("turn") + 1) * F.col("quota") / F.col("turns"))
     joined = pieces.join(turns, ["rank", "turn"], "left")
-    part = F.when(F.col("live") & F.col("slot").isNotNull(), F.greatest(F.lit(0), F.least(F.col("end"), high) - F.greatest(F.col("first"), low))).otherwise(0)
-    return joined.groupBy("doc_id", "rank", "start", "size", "source_size", "target").agg(F.sum(part).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    begin = F.greatest(F.col("first"), low)
+    part = F.when(F.col("live") & F.col("slot").isNotNull(), F.greatest(F.lit(0), F.least(F.col("end"), high) - begin)).otherwise(0)
+    return joined.select("row", "doc_id", "size", "source_size", "target", "slot", "copy", (begin - F.col("first")).alias("begin"), part.cast("long").alias("words"))
+
+
+def blocks(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, slots: int = 1 << 16, ranges: int = 1024) -> DataFrame:
+    """``(slot, doc_id, copy, first, last)``: the mix itself, as stretches of words of documents, counted from 0, by slot."""
+    pieces = _pieces(docs, weights, max_repeats, slots, ranges).where("words > 0")
+    return pieces.select("slot", "doc_id", "copy", F.col("begin").cast("long").alias("first"), (F.col("begin") + F.col("words") - 1).cast("long").alias("last"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, slots: int = 1 << 16, ranges: int = 1024) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)``, a row for each row of ``docs(doc_id, text, source)``.
+
+    ``slots`` is the length of the schedule and ``ranges`` the number of stretches of the shuffled order;
+    both only set the grain, not the result's totals.
+    """
+    pieces = _pieces(docs, weights, max_repeats, slots, ranges)
+    return pieces.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")

@@ -42,6 +42,21 @@ def test_mix_takes_its_targets(corpus):
     assert sorted(map(tuple, mixing.mix(corpus).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_mix_keeps_repeated_rows_and_delivers_blocks(spark):
+    rows = [(1, None, "a"), (1, "", "a"), (1, None, "a"), (None, " ", "a"), (None, None, "a"), (2, "", None), (2, "", None)]
+    rows += [(10 + k, " ".join(prose(k, 5 + k)), "ab"[k % 2]) for k in range(30)] + [(10, " ".join(prose(0, 5)), "a")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, slots=64).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    taken, given = Counter(), Counter()
+    for r in got:
+        taken[r["doc_id"]] += r["taken"]
+    for r in mixing.blocks(docs, slots=64).collect():
+        assert r["slot"] is not None and 0 <= r["first"] <= r["last"]
+        given[r["doc_id"]] += r["last"] - r["first"] + 1
+    assert +given == +taken and sum(given.values()) > 0
+
+
 def test_schedule_has_low_discrepancy(corpus, spark):
     plan = spark.createDataFrame([(0, 100.0, 100), (1, 200.0, 200), (2, 700.0, 700)], "rank int, target double, quota long")
     rows = sorted((r["slot"], r["rank"], r["turn"]) for r in mixing.schedule(plan, 1000).collect())
