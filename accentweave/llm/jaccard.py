@@ -18,14 +18,16 @@ No link between two components is missed, and groups of near copies, which are o
 first step, are never expanded into all their pairs. Pairs are verified per centre by a prefix tree: the
 partners' sets, in the common order, share the tree's branches; one traversal carries the overlap with the
 centre down each branch and gives up a branch once its remaining length cannot reach the overlap needed.
-A centre with many partners is dealt to several trees.
+A centre with many partners is dealt to several trees. Meetings under shingles whose counter is far above the mean
+are first counted in ``SALTS`` parts each, so that no shingle's rows are one task's work.
 
 Frequencies are counted over all shingles of all texts in a table of fixed size (``1 << SKETCH_BITS``
 counters), which is all that is broadcast; shingles that fall on one counter are counted together, which
 can only change the order, not the result.
 
 Edge cases. A text of fewer than ``k`` words has its whole word sequence as its one shingle; one without
-words, or null, has the empty set and is linked with nothing. A null ``doc_id`` takes no part. Rows with the
+words, or null, has the empty set and is linked with nothing. A row with a null ``doc_id`` takes no part and has no
+row in the result, or with ``null_ids`` one with its ``n_shingles`` and a null ``component_id``. Rows with the
 same ``doc_id`` are documents of their own with that number. Shingles are compared by 56-bit hashes within
 a frequency class and sets by 64-bit hashes. An empty table gives an empty result.
 """
@@ -36,16 +38,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components, forest_roots
-from .storage import small_batches, stash
+from .components import components
+from .storage import free_name, small_batches, stash
 from .textscan import mix, shingle_hashes, word_hashes
 
 SKETCH_BITS = 18
 MEET = 4
 SMALL = 10
+SALTS = 64
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -127,22 +130,26 @@ class PrefixTree:
         return found
 
 
-def _classes(spark: SparkSession, counts: DataFrame) -> np.ndarray:
-    """The frequency class of each counter, by twelfths of powers of two."""
+def _class_of(count: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.rint(12 * np.log2(1 + count))).astype(np.uint64)
+
+
+def _classes(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """The frequency class of each counter, by twelfths of powers of two, and the first class that counts as crowded."""
     table = counts.toArrow()  # at most 1 << SKETCH_BITS rows
     total = np.zeros(1 << SKETCH_BITS)
     total[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    return np.minimum(255, np.rint(12 * np.log2(1 + total))).astype(np.uint64)
+    return _class_of(total), int(_class_of(np.maximum(1 << 14, 8 * total.mean())))
 
 
 def set_keys(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n, node)`` of each document, and ``(bucket, n)``: all shingles counted by counter."""
+    """``(doc_id, n, node)`` of each document, without a node where it takes no part, and ``(bucket, n)``: all shingles counted by counter."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
             sets = list(shingle_sets(b.column(1), k))
-            sizes, nodes = [len(s) for s in sets], [digest(s) if len(s) else None for s in sets]
+            sizes, nodes = [len(s) for s in sets], [digest(s) if len(s) and there else None for s, there in zip(sets, b.column(0).is_valid().to_pylist(), strict=True)]
             if sets:
                 total += np.bincount(buckets(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "node", "counts"])
@@ -156,7 +163,7 @@ def set_keys(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    keys, _ = stash(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, node long, counts binary"), "set-keys")
+    keys, _ = stash(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, node long, counts binary"), "set-keys")
     counts = keys.where("counts is not null").select("counts").mapInArrow(slices, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     return keys.where("counts is null").drop("counts"), counts
 
@@ -212,21 +219,24 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, shared, k: in
     return left.groupBy("a", "tree").cogroup(right.groupBy("of", "part")).applyInArrow(probe, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, a row for each row of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, null_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``, a row for each row of ``docs(doc_id, text)`` that has a ``doc_id``.
 
     Two documents link when 100 * intersection >= percent * union of their sets; ``component_id`` is the
-    smallest ``doc_id`` that links lead to.
+    smallest ``doc_id`` that links lead to. With ``null_ids`` rows without a ``doc_id`` are there as well.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text") if null_ids else docs.select("doc_id", "text").where("doc_id is not null")
     keys, counts = set_keys(docs, k)
-    shared = spark.sparkContext.broadcast(_classes(spark, counts))
+    classes, crowded = _classes(counts)
+    shared = spark.sparkContext.broadcast(classes)
     owners = keys.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    under = Window.partitionBy("token")
-    rows = prefixes(docs, shared, k, percent).withColumn("low", F.min("node").over(under)).withColumn("high", F.max("node").over(under)).where("low <> high")
-    crowd, _ = stash(rows.select("token", "node", "n", "pos").distinct().withColumn("crowd", F.count("*").over(under)), "crowd")
+    # The parts of a crowded shingle are told apart by their salt; all others have the salt -1.
+    salt = F.when(F.shiftrightunsigned("token", 56) >= crowded, F.pmod(F.hash("node"), F.lit(SALTS))).otherwise(-1)
+    part = Window.partitionBy("token", "salt")
+    rows = prefixes(docs, shared, k, percent).withColumn("salt", salt).withColumn("low", F.min("node").over(part)).withColumn("high", F.max("node").over(part)).where("low <> high or salt >= 0")
+    crowd, _ = stash(rows.select("token", "salt", "node", "n", "pos").distinct().withColumn("crowd", F.count("*").over(part)).drop("salt"), "crowd")
 
     def early(x: str, y: str) -> Column:
         """Whether a meeting of ``x`` and ``y`` counts towards those that a link between them must have."""
@@ -235,13 +245,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(f"{x}.pos") < n + spare) & (F.col(f"{y}.pos") < m + spare)
 
     reach = crowd.groupBy("node").agg(F.sum("crowd").alias("reach"))
-    ranked = crowd.join(reach, "node").withColumn("centre", F.max(F.struct("reach", "node", "n", "pos")).over(under))
-    pairs = ranked.select(F.struct("node", "n", "pos").alias("x"), F.col("centre").alias("y")).where("x.node <> y.node").where(early("x", "y"))
+    ranked = crowd.drop("crowd").join(reach, "node")
+    centres = ranked.groupBy("token").agg(F.max(F.struct("reach", "node", "n", "pos")).alias("y"))
+    pairs = ranked.select("token", F.struct("node", "n", "pos").alias("x")).join(centres, "token").where("x.node <> y.node").where(early("x", "y"))
     votes = pairs.groupBy("x.node", F.col("y.node").alias("centre"), "x.n", F.col("y.n").alias("m")).agg(F.count("*").alias("met"))
     chosen = votes.where(F.col("met") >= _enough(F.col("n"), F.col("m"))).groupBy("node").agg(F.max_by("centre", F.struct("met", "centre")).alias("centre"))
-    # A centre has a larger (reach, node) than those it is chosen by, so the links of this step are a forest.
     first = verified(chosen.select(F.col("centre").alias("a"), F.col("node").alias("b")), docs, owners, shared, k, percent)
-    reached = forest_roots(first.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    reached = components(first)
 
     placed = crowd.drop("crowd").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
@@ -251,14 +261,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = met.where(F.col("met") >= _enough(F.col("n"), F.col("m"))).select("a", "b")
     second = verified(rest, docs, owners, shared, k, percent)
 
-    def at(column: str) -> DataFrame:
-        return reached.select(F.col("node").alias(column), F.col("root").alias(f"root_{column}"))
-
-    over = second.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    merged = components(over.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
-
-    named = keys.join(reached, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    named = named.join(merged, "root", "left").select("doc_id", "n", F.coalesce("top", "root").alias("root"))
+    # The links of both steps together; those of the first stand as ``reached`` has them.
+    grouped = components(reached.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(second))
+    shared.destroy()
+    named = keys.join(grouped, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     smallest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -269,5 +275,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Of rows with equal ``doc_id`` and text one stays; rows with a null ``doc_id`` are all kept.
     """
     first, _ = stash(near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct(), "first-of-group", narrow=True)
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_form", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_form"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    form = free_name(docs, "form")
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn(form, F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", form]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

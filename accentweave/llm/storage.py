@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Only where it is unset, as in local tests, a new one."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, in local mode, as in tests, a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
         if not path:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="accentweave-")
             spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -54,6 +57,14 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
     """Bounds the Arrow batches that Python workers get, so that long texts do not pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
