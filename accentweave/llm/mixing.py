@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Method. Golden-ratio points are mapped through the cumulative target weights: point ``i`` is
-``frac((i + 1/2) / golden)`` and belongs to the source whose interval it falls into, so every stretch of
-the schedule holds the sources near their weights. Slots are ranked per source; slot ``r`` of a source
-takes block ``r``. The blocks of a source are equal stretches of its documents in shuffled order, laid
-end to end and repeated up to ``max_repeats`` times; they are cut so that the source's slots together
-take exactly its target.
+Method. Van der Corput points are mapped through the cumulative target weights: the point of slot ``i`` is ``i`` with its
+binary digits mirrored behind the point, and the slot belongs to the source whose interval the point falls into, so every
+stretch of the schedule holds the sources near their weights, and all of it within one slot of them. Slots are ranked per
+source; slot ``r`` of a source takes block ``r``. Blocks are equal for all sources: the words of the mix shared evenly
+among the slots. Those of a source are equal stretches of its documents in shuffled order, laid end to end and repeated up
+to ``max_repeats`` times. What a source gives is what its slots hold, so it meets its target to about one block; a target
+too small for any point has one slot after the last, cut at the target.
 
 Shuffled order is that of ``md5(doc_id)``, the same on every run. Running sums are taken in two
 levels, over ranges of that order and then within each, so that a source holding most of the rows is
@@ -13,8 +14,8 @@ not one task's work.
 
 Edge cases. Null, empty and blank texts have size 0 and are taken 0 times. A null source is a source of
 its own, the last in order. Repeated rows count each for itself; rows with equal ``doc_id`` and source
-share one place in the order. Rows with a null ``doc_id`` take part. An
-empty table gives an empty result.
+share one place in the order. Rows with a null ``doc_id`` take part, in the order of their texts' digests. Other columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from .storage import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-GOLDEN = 0.6180339887498949
 
 
 def word_count(text: Column) -> Column:
@@ -62,32 +62,25 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat
 def schedule(plan: DataFrame, slots: int) -> DataFrame:
     """``(slot, rank, turn)``: which source each slot is given to and the slot's rank within it.
 
-    ``plan`` is what :func:`targets` returns. A source that no point hits, because its target is under
-    one slot's worth, gets one slot after the last.
+    ``plan`` is what :func:`targets` returns. With ``grid`` the next power of two after ``slots``, the points are the
+    multiples of ``1 / grid``, so a source's slots follow from the ends of its interval. A source that no point hits gets
+    one slot after the last.
     """
-    upto = Window.orderBy("rank")
-    bounds = plan.where("quota > 0").select(
-        "rank",
-        (F.coalesce(F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.sum("target").over(Window.partitionBy())).alias("low"),
-    )
-    at = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
-    points = plan.sparkSession.range(slots).select(F.col("id").alias("slot"), (at - F.floor(at)).alias("point"), F.lit(None).cast("int").alias("rank"))
-    marks = bounds.select(F.lit(None).cast("long").alias("slot"), F.col("low").alias("point"), "rank")
-    # One sort of the schedule's fixed number of points, however large the corpus is.
-    line = Window.orderBy("point", F.col("slot").asc_nulls_first(), "rank").rowsBetween(Window.unboundedPreceding, 0)
-    points = points.unionByName(marks).withColumn("rank", F.last("rank", ignorenulls=True).over(line)).where("slot is not null and rank is not null").select("slot", "rank")
-    unhit = bounds.join(points.select("rank").distinct(), "rank", "left_anti").select((F.lit(slots) + F.col("rank")).cast("long").alias("slot"), "rank")
-    ranges = Window.partitionBy("rank", "range").orderBy("slot")
-    hit = points.unionByName(unhit).withColumn("range", F.floor(F.col("slot") / 4096))
-    counts = hit.groupBy("rank", "range").agg(F.count("*").alias("n"))
-    earlier = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return hit.join(earlier, ["rank", "range"]).select("slot", "rank", (F.row_number().over(ranges) - 1 + F.col("before")).cast("long").alias("turn"))
+    bits = max(1, (slots - 1).bit_length())
+    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    sums = plan.where("quota > 0").select("rank", "quota", F.sum("quota").over(upto).alias("upto"), F.sum("quota").over(Window.partitionBy()).alias("total"))
+    place = lambda words: F.expr(f"({words} * {1 << bits} + total - 1) div total")
+    points = sums.select("rank", place("(upto - quota)").alias("low"), (place("upto") - 1).alias("high")).where("low <= high").select("rank", F.explode(F.sequence("low", "high")).alias("point"))
+    mirrored = F.conv(F.reverse(F.lpad(F.bin("point"), bits, "0")), 2, 10).cast("long")
+    hit = points.select(mirrored.alias("slot"), "rank").where(F.col("slot") < slots)
+    unhit = sums.join(hit.select("rank").distinct(), "rank", "left_anti").select((F.lit(slots) + F.col("rank")).cast("long").alias("slot"), "rank")
+    # At most ``slots`` rows and one for each source, however large the corpus is.
+    return hit.unionByName(unhit).withColumn("turn", (F.row_number().over(Window.partitionBy("rank").orderBy("slot")) - 1).cast("long"))
 
 
 def laid_out(sized: DataFrame, ranges: int = 1024) -> DataFrame:
-    """Adds ``start``: how many of the source's words come before the document in shuffled order."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = sized.withColumn("key", key).withColumn("range", (F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % 65536 * ranges / 65536).cast("int"))
+    """Adds ``start``: how many of the source's words come before the document in shuffled order, that of ``key``."""
+    keyed = sized.withColumn("range", (F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % 65536 * ranges / 65536).cast("int"))
     sums = keyed.groupBy("rank", "range").agg(F.sum("size").alias("n"))
     earlier = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     within = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,27 +92,27 @@ def _pieces(docs: DataFrame, weights: tuple[float, ...], max_repeats: int, slots
 
     ``row`` tells all rows apart. Rows of which nothing is taken are there as well, with 0 words.
     """
-    sized, _ = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5("text")), F.lit("")))
+    sized, _ = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")), "sizes")
     plan, _ = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets", narrow=True)
     turns, _ = stash(schedule(plan, slots), "schedule", narrow=True)
-    plan = plan.join(turns.groupBy("rank").agg(F.count("*").alias("turns")), "rank", "left")
+    whole = plan.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("n")).first()["n"]
+    # Block t of a source begins at the first word w with w * slots >= t * whole.
+    got = turns.groupBy("rank").agg(F.count("*").alias("turns"), (F.min("slot") < slots).alias("hit"))
+    stream = F.when(F.col("hit"), F.col("source_size") * max_repeats).otherwise(F.col("quota"))
+    reach = F.when(F.col("turns") > 0, F.least(F.expr(f"(turns * {whole}L + {slots - 1}) div {slots}"), stream)).otherwise(0)
+    plan = plan.join(got, "rank", "left").withColumn("reach", reach).select("source", "source_size", "rank", "target", "reach")
     placed = laid_out(sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop("source"), ranges)
 
-    def turn_at(word: Column) -> Column:
-        """The turn whose block holds the word: blocks begin at floor(turn * quota / turns)."""
-        return F.floor(((word + 1) * F.col("turns") - 1) / F.col("quota"))
-
     copies = placed.withColumn("copy", F.explode(F.when(F.col("size") > 0, F.sequence(F.lit(0), F.lit(max_repeats - 1))).otherwise(F.array(F.lit(0)))))
-    first = F.col("start") + F.col("copy") * F.col("source_size")
-    copies = copies.withColumn("first", first).withColumn("end", F.least(first + F.col("size"), F.coalesce("quota", F.lit(0))))
-    copies = copies.withColumn("live", (F.col("end") > F.col("first")) & (F.col("turns") > 0))
-    pieces = copies.withColumn("turn", F.explode(F.when(F.col("live"), F.sequence(turn_at(F.col("first")) - 1, turn_at(F.col("end") - 1) + 1)).otherwise(F.array(F.lit(-1).cast("long")))))
-    pieces = pieces.where("turn >= 0 or (not live and copy = 0)")
-    low = F.floor(F.col("turn") * F.col("quota") / F.col("turns"))
-    high = F.floor((F.col("turn") + 1) * F.col("quota") / F.col("turns"))
-    joined = pieces.join(turns, ["rank", "turn"], "left")
-    begin = F.greatest(F.col("first"), low)
-    part = F.when(F.col("live") & F.col("slot").isNotNull(), F.greatest(F.lit(0), F.least(F.col("end"), high) - begin)).otherwise(0)
+    copies = copies.withColumn("first", F.col("start") + F.col("copy") * F.col("source_size")).withColumn("end", F.least(F.col("first") + F.col("size"), F.col("reach")))
+    live = F.col("end") > F.col("first")
+    at = lambda word: F.expr(f"({word} * {slots}L) div {max(1, whole)}L")
+    pieces = copies.withColumn("turn", F.explode(F.when(live, F.sequence(at("first"), at("(end - 1)"))).otherwise(F.array(F.lit(-1).cast("long")))))
+    joined = pieces.where("turn >= 0 or copy = 0").join(turns, ["rank", "turn"], "left")
+    edge = lambda turn: F.expr(f"({turn} * {whole}L + {slots - 1}) div {slots}")
+    begin = F.greatest(F.col("first"), edge("turn"))
+    part = F.when(F.col("slot").isNotNull(), F.least(F.col("end"), edge("(turn + 1)")) - begin).otherwise(0)
     return joined.select("row", "doc_id", "size", "source_size", "target", "slot", "copy", (begin - F.col("first")).alias("begin"), part.cast("long").alias("words"))
 
 
@@ -132,8 +125,8 @@ def blocks(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, slots: int = 1 << 16, ranges: int = 1024) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)``, a row for each row of ``docs(doc_id, text, source)``.
 
-    ``slots`` is the length of the schedule and ``ranges`` the number of stretches of the shuffled order;
-    both only set the grain, not the result's totals.
+    ``slots`` is the length of the schedule, of which each slot takes one block, and ``ranges`` the number of stretches of
+    the shuffled order, which do not change the result.
     """
     pieces = _pieces(docs, weights, max_repeats, slots, ranges)
     return pieces.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")

@@ -32,7 +32,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), null_ids=True)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 80 * (x.n + y.n - p.c)),
 r AS (SELECT doc_id AS node, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node)
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+UNION ALL SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)])) END::BIGINT, NULL FROM (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}'), []) AS w FROM documents WHERE doc_id IS NULL)"""
 
 _OP4 = f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size FROM documents),
@@ -98,9 +99,13 @@ w AS (SELECT *, ((rank % 3) + 1)::DOUBLE AS weight, source_size * 3 AS cap, (sum
 v AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT *, max(CASE WHEN cap < level * weight THEN NULL ELSE level END) OVER () AS final FROM v),
 q AS (SELECT source, source_size, rank, CASE WHEN cap < level * weight THEN cap::DOUBLE ELSE least(final * weight, cap::DOUBLE) END AS target FROM t),
-f AS (SELECT d.doc_id, d.size, q.source_size, q.target, floor(q.target)::BIGINT AS quota,
-  coalesce(sum(d.size) OVER (PARTITION BY q.rank ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size) + greatest(0, least(start + 2 * source_size + size, quota) - start - 2 * source_size))::BIGINT AS taken FROM f"""
+c AS (SELECT *, floor(target)::BIGINT AS quota, (sum(floor(target)::BIGINT) OVER ())::BIGINT AS whole, (sum(floor(target)::BIGINT) OVER (ORDER BY rank))::BIGINT AS upto FROM q),
+p AS (SELECT i AS slot, list_sum([((i >> b) & 1) << (15 - b) FOR b IN range(16)])::BIGINT AS point FROM range(65536) AS r(i)),
+n AS (SELECT c.rank, count(*) AS turns FROM c JOIN p ON p.point >= ((upto - quota) * 65536 + whole - 1) // whole AND p.point < (upto * 65536 + whole - 1) // whole WHERE c.quota > 0 GROUP BY c.rank),
+e AS (SELECT c.*, CASE WHEN quota = 0 THEN 0 WHEN n.turns IS NULL THEN least((whole + 65535) // 65536, quota) ELSE least((n.turns * whole + 65535) // 65536, source_size * 3) END AS reach FROM c LEFT JOIN n ON n.rank = c.rank),
+f AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.reach,
+  coalesce(sum(d.size) OVER (PARTITION BY e.rank ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (greatest(0, least(start + size, reach) - start) + greatest(0, least(start + source_size + size, reach) - start - source_size) + greatest(0, least(start + 2 * source_size + size, reach) - start - 2 * source_size))::BIGINT AS taken FROM f"""
 
 _OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),

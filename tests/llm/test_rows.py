@@ -57,6 +57,25 @@ def test_mix_keeps_repeated_rows_and_delivers_blocks(spark):
     assert +given == +taken and sum(given.values()) > 0
 
 
+def test_mix_follows_its_schedule(spark):
+    """Each source gives what its slots' equal blocks hold: within a block of its target, and otherwise as the points fall."""
+    docs = spark.createDataFrame([(k, " ".join(prose(k, 20 + k % 9)), "abc"[k % 3]) for k in range(60)], "doc_id long, text string, source string")
+    given = {}
+    for slots in (1 << 16, 64, 61, 7):
+        rows = mixing.mix(docs, slots=slots).collect()
+        block, taken = sum(r["size"] for r in rows) / slots, Counter()
+        for r in rows:
+            taken[r["target"]] += r["taken"]
+            assert r["taken"] <= 3 * r["size"]
+        assert all(abs(words - target) <= 2 * block + 2 for target, words in taken.items())
+        given[slots] = {r["doc_id"]: r["taken"] for r in rows}
+        pieces = Counter()
+        for r in mixing.blocks(docs, slots=slots).collect():
+            pieces[r["slot"]] += r["last"] - r["first"] + 1
+        assert max(pieces.values()) - block < 1
+    assert len({tuple(sorted(g.items())) for g in given.values()}) == 4
+
+
 def test_schedule_has_low_discrepancy(corpus, spark):
     plan = spark.createDataFrame([(0, 100.0, 100), (1, 200.0, 200), (2, 700.0, 700)], "rank int, target double, quota long")
     rows = sorted((r["slot"], r["rank"], r["turn"]) for r in mixing.schedule(plan, 1000).collect())
