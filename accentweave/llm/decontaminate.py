@@ -20,6 +20,8 @@ Before they are joined, the documents' windows pass a bitmap of fixed size (``1
 items' window hashes; that is all that is broadcast by design, whatever the size of the benchmark. The join
 itself is left to Spark, which broadcasts the items' windows only if they are small.
 
+Equal texts are one from their windows on, so that copies are not judged each.
+
 Edge cases. Null and empty texts and items match nothing; items of fewer than ``shortest`` words and numbers
 take no part. Documents with equal texts have equal results; a null ``doc_id`` is judged like
 any other. A null ``item_id`` takes no part; items with the same number are matched each by its own text.
@@ -307,7 +309,10 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 6, literal: int = 3,
     bitmap = np.zeros(1 << BITMAP_BITS >> 3, dtype=np.uint8)
     bits = known.select(F.shiftrightunsigned("hash", 64 - BITMAP_BITS).alias("b")).distinct().toArrow()["b"].to_numpy()  # at most 1 << BITMAP_BITS
     np.bitwise_or.at(bitmap, bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
-    found = document_windows(docs.select("form", "text"), spark.sparkContext.broadcast(bitmap), sizes, lengths, literal)
+    shared = spark.sparkContext.broadcast(bitmap)
+    # A text's windows come once for each of its copies; they are one row each before they meet the items.
+    found, _ = stash(document_windows(docs.select("form", "text"), shared, sizes, lengths, literal).dropDuplicates(["form", "at", "hash"]), "document-windows")
+    shared.destroy()
     met = found.join(known, "hash").groupBy("form", "item", "item_id").agg(
         F.collect_list(F.struct("variant", "size", "tokens", "place", "item_slots", "at", "doc_slots")).alias("rows"), F.countDistinct("place").alias("places"), F.max("size").alias("size"), F.min("tokens").alias("tokens")
     )

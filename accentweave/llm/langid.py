@@ -3,11 +3,12 @@
 Method. A text is folded to lower-case letters and spaces; every byte 2-, 3- and 4-gram of the whole text
 is hashed to one of ``buckets`` embeddings. Their mean goes through a linear softmax. Embeddings and
 softmax are trained together by stochastic gradient descent in numpy, on at most about
-``per_language`` documents of each language. A fifth of those are left out to calibrate, whole and
+``per_language`` documents and ``max_bytes`` bytes of each language, whole texts of at most a 64th of that. A fifth of those are left out to calibrate, whole and
 thinned to a few grams as short texts are: a temperature and a number of grams at which logits count half,
 which make the probabilities honest, and for each language a rejection threshold under which at most
 ``false_rejects`` of its rightly named documents lie. As the mean and the softmax's input are linear,
-scoring needs one table of bucket by language; its size does not depend on the corpus.
+scoring needs one table of bucket by language; its size does not depend on the corpus. A long text is scored in
+pieces whose sums are added.
 
 Edge cases. A null text, or one without a letter, is ``und`` with score 0 and is rejected. A null
 ``doc_id`` is scored and counts as not held out; it is never trained on. Rows without ``lang`` are
@@ -22,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import small_batches
-from .textscan import row_chunks, texts_of
+from .storage import free_name, small_batches
+from .textscan import CHUNK_BYTES, row_chunks, texts_of
 
 UNDETERMINED = "und"
 SIZES = (2, 3, 4)
@@ -60,9 +61,9 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_buckets(data: np.ndarray, rows: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def gram_buckets(folded: np.ndarray, rows: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each gram size: the bucket at each byte, and where no gram of one row begins."""
-    folded = fold(data).astype(np.uint32)
+    folded = folded.astype(np.uint32)
     value = folded.copy()
     for n in range(2, max(SIZES) + 1):
         value *= np.uint32(257)
@@ -82,8 +83,11 @@ def has_letter(column: pa.Array) -> np.ndarray:
     out = np.zeros(len(valid), dtype=bool)
     for i, j in row_chunks(at):
         data, rows = raw[at[i] : at[j]], at[i : j + 1] - at[i]
-        ascii_letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
-        out[i:j] = np.diff(ascii_letters[rows]) > 0
+        if j == i + 1:
+            out[i] = _ASCII_LETTER[data].any()
+        else:
+            ascii_letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
+            out[i:j] = np.diff(ascii_letters[rows]) > 0
         for k in np.flatnonzero(~out[i:j] & (np.diff(rows) > 0)):
             out[i + k] = any(c.isalpha() for c in data[rows[k] : rows[k + 1]].tobytes().decode("utf-8", "replace"))
     return out
@@ -103,7 +107,7 @@ def features(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarr
     raw, at, _ = texts_of(column)
     for i in range(len(at) - 1):
         total = np.zeros(1 << bits, dtype=np.int64)
-        data = raw[at[i] : at[i + 1]]
+        data = fold(raw[at[i] : at[i + 1]])
         for buckets, dead in gram_buckets(data, np.array([0, len(data)]), bits):
             total += np.bincount(buckets[~dead], minlength=1 << bits)
         ids = np.flatnonzero(total)
@@ -165,7 +169,7 @@ def train(labels: list[str], bags: list[tuple[np.ndarray, np.ndarray]], bits: in
     return Model(languages, (table / best).astype(np.float32), (bias / best).astype(np.float64), thresholds, half, bits)
 
 
-def predict(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def predict(column: pa.Array, model: Model, piece: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row: the language's number or -1, its probability, and whether the model stands by it."""
     raw, at, valid = texts_of(column)
     n = len(valid)
@@ -173,14 +177,19 @@ def predict(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     if not model.languages:
         return named, score, kept
     table = np.ascontiguousarray(model.table)
-    for i, j in row_chunks(at):
-        data, rows = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+    for i, j in row_chunks(at, piece):
+        data, rows = fold(raw[at[i] : at[j]]), at[i : j + 1] - at[i]
         total, count = np.zeros((j - i, len(model.languages))), np.zeros(j - i)
-        for buckets, dead in gram_buckets(data, rows, model.bits):
-            value = table[buckets]
-            value[dead] = 0
-            total += sum_rows(value, rows)
-            count += sum_rows(~dead, rows)
+        # Only a row that is alone is longer than a piece; a gram belongs to the piece that it begins in.
+        for begin in range(0, max(1, len(data)), piece):
+            part = data[begin : begin + piece + max(SIZES) - 1]
+            own = rows if len(data) <= piece else np.array([0, len(part)])
+            for buckets, dead in gram_buckets(part, own, model.bits):
+                dead[piece:] = True
+                value = table[buckets]
+                value[dead] = 0
+                total += sum_rows(value, own)
+                count += sum_rows(~dead, own)
         p = _softmax((total / np.maximum(count, 1)[:, None] + model.bias) * (count / np.maximum(count + model.half, 1))[:, None])
         named[i:j], score[i:j] = p.argmax(axis=1), p.max(axis=1)
         kept[i:j] = score[i:j] >= model.thresholds[named[i:j]]
@@ -189,54 +198,71 @@ def predict(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     return named, score, kept
 
 
-def sample(rows: DataFrame, label: Column, per_label: int, seed: int) -> DataFrame:
-    """``(doc_id, label)``: about ``per_label`` rows of each label, chosen by a hash of ``doc_id``.
+def sample(rows: DataFrame, label: str, per_label: int, seed: int) -> DataFrame:
+    """About ``per_label`` of ``rows(doc_id, …)`` of each value of ``label``, chosen by a hash of ``doc_id``."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("n_label"))
+    # One row a label; a model has a column for each of them.
+    return rows.join(F.broadcast(counts), label).where(_chance(seed) < F.lit(float(per_label)) / F.col("n_label")).drop("n_label")
+
+
+def _chance(seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
 
-    Texts are best left out of ``rows``: what is joined and shuffled here are numbers and labels.
+
+def bounded(rows: DataFrame, label: str, max_bytes: int, seed: int) -> DataFrame:
+    """Of ``rows(doc_id, text, …)``, already a sample: one of each ``doc_id`` and text, at most ``max_bytes`` of text a label.
+
+    Texts are taken whole; those of more than a 64th of ``max_bytes`` are left out. ``form`` is a hash of the text.
     """
-    labelled = rows.select("doc_id", label.alias("label")).where("label is not null and doc_id is not null")
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n_label"))
-    at = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return labelled.join(counts, "label").where(at < F.lit(float(per_label)) / F.col("n_label")).select("doc_id", "label").distinct()
+    sized = rows.withColumn("form", F.xxhash64("text")).withColumn("bytes", F.octet_length("text")).where(F.col("bytes") <= max_bytes // 64)
+    before = Window.partitionBy(label).orderBy(_chance(seed), "doc_id", "form").rowsBetween(Window.unboundedPreceding, 0)
+    return sized.dropDuplicates(["doc_id", "form"]).withColumn("upto", F.sum("bytes").over(before)).where(F.col("upto") <= max_bytes).drop("bytes", "upto")
 
 
-def fit(docs: DataFrame, trainable: Column, per_language: int = 400, bits: int = 15, seed: int = 7) -> Model:
+def fit(docs: DataFrame, trainable: Column, per_language: int = 400, max_bytes: int = 8 << 20, bits: int = 15, seed: int = 7) -> Model:
     """Trains on rows of ``docs(doc_id, text, lang)`` for which ``trainable`` holds."""
-    chosen = sample(docs.where(trainable).select("doc_id", "lang"), F.col("lang"), per_language, seed)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # about per_language rows a language
+    labelled = docs.where(trainable).select("doc_id", "text", "lang").where("lang is not null and doc_id is not null")
+    rows = bounded(sample(labelled, "lang", per_language, seed).where("text is not null"), "lang", max_bytes, seed)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(features(batch.column(2), bits))
+            found = list(features(batch.column(3), bits))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))],
-                names=["doc_id", "label", "ids", "counts"],
+                [batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2).cast(pa.string()), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))],
+                names=["doc_id", "form", "label", "ids", "counts"],
             )
 
-    got = rows.select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label string, ids array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    got = rows.select("doc_id", "form", "lang", "text").mapInArrow(bags, "doc_id long, form long, label string, ids array<int>, counts array<int>").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("form", "ascending"), ("label", "ascending")])
     use = [k for k, ids in enumerate(got["ids"]) if len(ids)]
     if not use:
         return Model([], np.zeros((1, 0), np.float32), np.zeros(0), np.zeros(0), 0.0, bits)
     labels, ids, counts = (got[c].combine_chunks() for c in ("label", "ids", "counts"))
+    del got
     flat, amount, at = ids.flatten().to_numpy(), counts.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
     return train([labels[k].as_py() for k in use], [(flat[at[k] : at[k + 1]], amount[at[k] : at[k + 1]]) for k in use], bits, seed=seed)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_kept`` after its own columns."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_kept")) -> DataFrame:
+    """``docs`` with the language, its probability and whether the model stands by it, as ``names``, after its own columns.
+
+    A column of ``docs`` that has one of these names is replaced.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_kept")]
-    kinds = docs.select(*own).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_kept", "boolean")
+    own = [c for c in docs.columns if c not in names]
+    kinds = docs.select(*own).schema
+    for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
+        kinds = kinds.add(name, kind)
     at = own.index("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = pa.array([*model.languages, UNDETERMINED])
+        languages = pa.array([*model.languages, UNDETERMINED])
         for batch in batches:
             named, score, kept = predict(batch.column(at), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns, names.take(pa.array(np.where(named < 0, len(model.languages), named))), pa.array(score), pa.array(kept)], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, languages.take(pa.array(np.where(named < 0, len(model.languages), named))), pa.array(score), pa.array(kept)], names=[*batch.schema.names, *names])
 
     return docs.select(*own).mapInArrow(label, kinds)
 
@@ -244,9 +270,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents whose language the model rejects; trained on ``docs``' own ``lang``.
 
-    Without any labelled row there is no model, and all rows stay.
+    Columns come back as they were, whatever their names. Without any labelled row there is no model, and all rows stay.
     """
     model = fit(docs, F.lit(True), **options)
     if not model.languages:
         return docs
-    return identify(docs, model).where("lang_kept").select(*docs.columns)
+    names = tuple(free_name(docs, n) for n in ("lang_pred", "lang_score", "lang_kept"))
+    return identify(docs, model, names).where(F.col(names[2])).select(*docs.columns)

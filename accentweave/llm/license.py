@@ -9,7 +9,7 @@ lines of their own; known texts are reduced to bodies likewise. Only DataFrame f
 
 Edge cases. A null text has a null digest and no notices. An empty text, or one with nothing but
 copyright lines, has the digest of the empty string, which no licence has. Lines are counted with their
-repeats. Rows with the same ``doc_id`` share their notices; rows with a null ``doc_id`` are kept,
+repeats. Rows with the same ``doc_id`` share their notices unless they are asked for by row; rows with a null ``doc_id`` are kept,
 their notices are counted together. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,6 +21,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import stash
+
 # Notice lines and short licences by SPDX name.
 NOTICES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -157,31 +159,38 @@ def known_licences(spark: SparkSession, known: DataFrame | None = None, body: bo
     return canon.groupBy(F.sha2("canon", 256).alias("digest"), F.length("canon").alias("chars")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, by_row: bool = False) -> DataFrame:
     """``(doc_id, digest, license_id, notices, n_notices)``, a row for each row of ``docs(doc_id, text)``.
 
     ``digest`` is that of the whole text and ``license_id`` the licence that the text or else its body is; ``notices`` joins by commas the distinct licences
-    that whole lines of it are, ``n_notices`` counts those lines. ``known(license_id, text)`` defaults to
+    that whole lines of it are, ``n_notices`` counts those lines; with ``by_row`` they are each row's own, else all of the ``doc_id``'s. ``known(license_id, text)`` defaults to
     the fixed list, which is broadcast; a line is then hashed only if its length is that of some known text, as no
     other can be equal. A table that is given is joined as Spark sees fit.
+
+    Texts are made canonical once; what is written to the shared folder and read from there on are digests.
     """
-    table = known_licences(docs.sparkSession, known)
-    bodies = known_licences(docs.sparkSession, known, body=True)
-    base = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    lined = base.select("doc_id", F.explode(F.split("lines", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
+    spark = docs.sparkSession
+    table = known_licences(spark, known)
+    bodies = known_licences(spark, known, body=True)
+    lines = F.col("lines")
+    trimmed = F.transform(F.split(lines, "\n"), lambda x: F.trim(x))
     if known is None:
         table, bodies = F.broadcast(table), F.broadcast(bodies)
-        lengths = table.select(F.col("chars").alias("n_chars")).distinct()
-        lined = lined.join(F.broadcast(lengths), F.length("line") == F.col("n_chars"), "left_semi")
-    hits = lined.select("doc_id", F.sha2("line", 256).alias("digest")).join(table.select("digest", "license_id"), "digest")
-    notices = hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notices"))
-    texts = base.select("doc_id", "lines", F.sha2(whole(F.col("lines")), 256).alias("digest"))
-    body = F.when(_titled(F.col("lines")), F.sha2(whole(body_lines(F.col("lines"))), 256)).otherwise(F.col("digest"))
-    texts = texts.select("doc_id", "digest", body.alias("body"))
+        lengths = [r["chars"] for r in table.select("chars").distinct().collect()]  # of the fixed list
+        trimmed = F.filter(trimmed, lambda x: F.length(x).isin(lengths))
+    # As row numbers are not to be worked out twice, the optimizer leaves these two steps apart, and lines are made once.
+    canon = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), canonical_lines(F.col("text")).alias("lines"))
+    body = F.when(_titled(lines), F.sha2(whole(body_lines(lines)), 256))
+    narrow = canon.select("row", "doc_id", F.sha2(whole(lines), 256).alias("digest"), body.alias("body"), F.transform(trimmed, lambda x: F.sha2(x, 256)).alias("line_digests"))
+    base, _ = stash(narrow, "licence-digests")
+    key = "row" if by_row else "doc_id"
+    hits = base.select(key, F.explode("line_digests").alias("digest")).join(table.select("digest", "license_id"), "digest")
+    notices = hits.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notices"))
+    texts = base.select("row", "doc_id", "digest", F.coalesce("body", "digest").alias("body"))
     found = texts.join(table.select("digest", "license_id"), "digest", "left").join(bodies.select(F.col("digest").alias("body"), F.col("license_id").alias("body_id")), "body", "left")
-    found = found.select("doc_id", "digest", F.coalesce("license_id", "body_id").alias("license_id"))
+    found = found.select("row", "doc_id", "digest", F.coalesce("license_id", "body_id").alias("license_id"))
     return (
         found.alias("d")
-        .join(notices.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")), "left")
+        .join(notices.alias("n"), F.col(f"d.{key}").eqNullSafe(F.col(f"n.{key}")), "left")
         .select("d.doc_id", "d.digest", "d.license_id", F.coalesce("n.notices", F.lit("")).alias("notices"), F.coalesce("n.n_notices", F.lit(0)).cast("long").alias("n_notices"))
     )

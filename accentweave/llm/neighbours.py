@@ -8,11 +8,13 @@ one bit at a time, until the prefixes hold ``share`` of all vectors (counted wit
 ``least``). The vectors reached are ranked by their exact inner products in double precision.
 
 The trees are dealt out by prefix. How many vectors each prefix holds is counted for all of them, up to
-``DEPTH`` bits: a table of fixed size that tells each query at which bit to stop. Below the dealt prefix
-a block sorts its strings and a query's candidates are one slice of them. Blocks have a bounded number
+``DEPTH`` bits: a table of fixed size that tells each query at which bit to stop. Where its prefixes of that length still
+hold more, it descends further, down to all 64 bits: the blocks, which sort their strings, say how many of these have
+each longer prefix of the query's, and the sums over all trees say where to stop. A query's candidates in a block are one
+slice of its strings. Blocks have a bounded number
 of vectors and of queries; a crowded prefix becomes several blocks.
 
-``share`` says how hard the data is, not how large: vectors spread evenly over 64 dimensions, as those of
+So the work follows the larger of ``least`` and ``share`` of the vectors. ``share`` says how hard the data is, not how large: vectors spread evenly over 64 dimensions, as those of
 the test tables are, need most of the table for a recall of 0.9; clustered ones need far less.
 
 Edge cases. Vectors that are null, zero, hold a null or a value that is not finite, have no id, or are not
@@ -66,6 +68,15 @@ def _stop_levels(codes: np.ndarray, counts: list[np.ndarray], budget: float) ->
     return level
 
 
+def longer_prefixes(code: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each string of ``own``: how many of the sorted ``code`` share its first DEPTH + 1, …, BITS bits."""
+    out = np.zeros((len(own), BITS - DEPTH), dtype=np.int64)
+    for k, bits in enumerate(range(DEPTH + 1, BITS + 1)):
+        low = own >> np.uint64(BITS - bits) << np.uint64(BITS - bits)
+        out[:, k] = np.searchsorted(code, low + np.uint64((1 << (BITS - bits)) - 1), side="right") - np.searchsorted(code, low, side="left")
+    return out
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, exact, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of one query: the k best by exact score, then id. Near ties of the quick scores are all looked at."""
     if len(ids) > k:
@@ -119,6 +130,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 16
         """Row numbers, each as often as said, and the how-manieth each is."""
         return np.repeat(np.arange(len(times)), times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
+    def strings(column: pa.Array) -> np.ndarray:
+        return np.asarray(column.flatten()).reshape(-1, trees).view(np.uint64)
+
     def visits(codes: np.ndarray, level: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """The dealt prefixes that each query's own prefix covers."""
         wide = np.maximum(0, depth - level)
@@ -127,24 +141,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 16
 
     def visit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((trees, 1 << depth), dtype=np.int64)
+        for b in batches:
+            codes, level = strings(b.column(2)), b.column(3).to_numpy()
+            for t in range(trees):
+                total[t] += np.bincount(visits(codes, level, t)[1], minlength=1 << depth)
+        t, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(at), pa.array(total[t, at])], names=["tree", "prefix", "n"])
+
+    def with_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1))
             if len(x):
                 codes = _codes(x, np.zeros(len(x)), trees, seed)
-                level = _stop_levels(codes, counts, budget)
-                for t in range(trees):
-                    total[t] += np.bincount(visits(codes, level, t)[1], minlength=1 << depth)
-        t, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(at), pa.array(total[t, at])], names=["tree", "prefix", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(codes.view(np.int64)), pa.list_(pa.int64())), pa.array(_stop_levels(codes, counts, budget))], names=["vec_id", "embedding", "codes", "level"])
 
     asked = index.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "embedding")
+    asked, _ = stash(asked.mapInArrow(with_levels, f"vec_id long, embedding {kind}, codes array<long>, level long"), "asked")
     loads = asked.mapInArrow(visit_counts, "tree int, prefix long, n long").groupBy("tree", "prefix").agg(F.sum("n").alias("n")).toArrow()
     query_blocks = np.ones((trees, 1 << depth), dtype=np.int64)
     query_blocks[loads["tree"].to_numpy(), loads["prefix"].to_numpy()] = np.ceil(loads["n"].to_numpy() / block)
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = np.asarray(b.column(2).flatten()).reshape(-1, trees).view(np.uint64)
+            codes = strings(b.column(2))
             for t in range(trees):
                 own = prefixes(codes, t)
                 row, side = repeat(query_blocks[t, own])
@@ -154,19 +173,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 16
 
     def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(1))
-            if not len(x):
-                continue
-            codes = _codes(x, np.zeros(len(x)), trees, seed)
-            level = _stop_levels(codes, counts, budget)
+            codes, level = strings(b.column(2)), b.column(3).to_numpy()
             for t in range(trees):
                 asker, at = visits(codes, level, t)
                 deep, piece = repeat(blocks[t, at])
                 row, at = asker[deep], at[deep]
-                ids = b.column(0).cast(pa.int64()).take(pa.array(row))
+                ids = b.column(0).take(pa.array(row))
                 columns = [np.full(len(row), t, np.int32), at, piece, spread(ids.to_numpy()) % query_blocks[t, at], codes[row, t].view(np.int64), level[row]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ids, b.column(1).take(pa.array(row))], names=[*keys, "code", "level", "query_id", "embedding"])
 
+    def count_longer(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = longer_prefixes(np.sort(left["code"].to_numpy().view(np.uint64)), right["code"].to_numpy().view(np.uint64))
+        return pa.table({"query_id": right["query_id"], "held": pa.array(list(held), pa.list_(pa.int64()))})
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
@@ -196,7 +215,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 16
 
     dealt = "tree int, prefix long, block long, side long, code long"
     left = index.select("vec_id", "embedding", "codes").mapInArrow(index_rows, f"{dealt}, vec_id long, embedding {kind}")
-    right = asked.mapInArrow(query_rows, f"{dealt}, level long, query_id long, embedding {kind}")
+    askers = f"{dealt}, level long, query_id long, embedding {kind}"
+    deep = asked.where(F.col("level") == DEPTH)
+    if deep.limit(1).count():
+        pieces = deep.mapInArrow(query_rows, askers).select(*keys, "code", "query_id")
+        held = left.select(*keys, "code").groupBy(*keys).cogroup(pieces.groupBy(*keys)).applyInArrow(count_longer, "query_id long, held array<long>")
+        sums = held.select("query_id", F.posexplode("held").alias("bit", "n")).groupBy("query_id", "bit").agg(F.sum("n").alias("n"))
+        reached = sums.where(F.col("n") >= budget).groupBy("query_id").agg(F.max("bit").alias("bit"))
+        asked, _ = stash(asked.join(reached, asked["vec_id"] == reached["query_id"], "left").select("vec_id", "embedding", "codes", F.coalesce(F.col("bit") + (DEPTH + 1), F.col("level")).cast("long").alias("level")), "asked-deep")
+    right = asked.mapInArrow(query_rows, askers)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -58,7 +58,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"), by_row=True)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,8 +142,8 @@ def run_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """``(anchor, content, owner, words)`` of ``wanted(anchor, content, owner, form, start, n)``, read from the owners."""
-    lists = wanted.groupBy("owner", "form").agg(F.collect_list(F.struct("anchor", "content", "start", "n")).alias("runs"))
+    """``(anchor, content, texts, owner, words)`` of ``wanted(anchor, content, texts, owner, form, start, n)``, read from the owners."""
+    lists = wanted.groupBy("owner", "form").agg(F.collect_list(F.struct("anchor", "content", "texts", "start", "n")).alias("runs"))
     joined = docs.join(lists, (docs["doc_id"] == lists["owner"]) & (docs["form"] == lists["form"])).select("owner", "text", "runs")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +153,12 @@ def _texts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 out = []
                 for r in range(len(at) - 1):
                     own = words[at[r] : at[r + 1]]
-                    out += [(x["anchor"], x["content"], owners[i + r], own[x["start"] : x["start"] + x["n"] + window - 1].tobytes()) for x in lists[i + r].as_py()]
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["anchor", "content", "owner", "words"])
+                    out += [(x["anchor"], x["content"], x["texts"], owners[i + r], own[x["start"] : x["start"] + x["n"] + window - 1].tobytes()) for x in lists[i + r].as_py()]
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["anchor", "content", "texts", "owner", "words"])
 
-    return joined.mapInArrow(read, "anchor long, content long, owner long, words binary").dropDuplicates(["anchor", "content"])
+    # Dealt by content as well as anchor, so that a crowded anchor's texts are many tasks' work.
+    return joined.mapInArrow(read, "anchor long, content long, texts long, owner long, words binary").dropDuplicates(["anchor", "content"])
 
 
 def _held_by_smaller(texts: DataFrame, window: int) -> DataFrame:
@@ -188,10 +189,11 @@ def _held_by_hash(texts: DataFrame, window: int) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for anchor, content, owner, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                hashes = shingle_hashes(np.frombuffer(raw, dtype=np.uint64), window)
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays([*(pa.array([v] * n, pa.int64()) for v in (anchor, content, owner)), pa.array(np.arange(n, dtype=np.int32)), pa.array(hashes.view(np.int64))], names=["anchor", "content", "owner", "at", "hash"])
+            hashes = [shingle_hashes(np.frombuffer(raw.as_py(), dtype=np.uint64), window) for raw in b.column(3)]
+            n = [len(h) for h in hashes]
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            places = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(3)), pa.array(places), pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64))], names=["anchor", "content", "owner", "at", "hash"])
 
     rows, _ = stash(texts.mapInArrow(spread, "anchor long, content long, owner long, at int, hash long"), "crowded-windows")
     least = rows.groupBy("hash").agg(F.min("owner").alias("least"))
@@ -206,7 +208,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan:
     anchors = contents.groupBy("anchor").agg(F.min("own.doc_id").alias("low"), F.max("last").alias("high"), F.count("*").alias("texts")).where("low < high").select("anchor", "texts")
     shared, _ = stash(contents.join(anchors, "anchor").select("anchor", "content", "texts", "last", F.col("own.doc_id").alias("owner"), F.col("own.form").alias("form"), F.col("own.start").alias("start"), F.col("own.n").alias("n")), "shared-contents")
     wanted = shared.where("texts > 1")
-    texts, _ = stash(_texts(docs, wanted, window).join(wanted.select("anchor", "texts").distinct(), "anchor"), "run-texts")
+    texts, _ = stash(_texts(docs, wanted, window), "run-texts")
     columns = ["anchor", "content", "owner", "words"]
     held = _held_by_smaller(texts.where(F.col("texts") <= fan).select(*columns), window).unionByName(_held_by_hash(texts.where(F.col("texts") > fan).select(*columns), window))
     held, _ = stash(held, "held")

@@ -15,7 +15,8 @@ summed before they are shuffled. Only DataFrame functions are used.
 Edge cases. Lines are what lies between ``\\n``; blank lines have no template and are never dropped. A
 null text stays null and has no lines. Rows with equal ``doc_id`` are one document for counting and
 each keeps its own text; a null ``doc_id`` is a document of its own. An empty table gives an empty
-result. Other columns come back unchanged.
+result. Other columns come back unchanged; one that has a name of the added columns is replaced, and these can be named
+otherwise.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stash
+from .storage import free_name, stash
 
 FIELD = "<*>"
 
@@ -120,22 +121,31 @@ def recurring(docs: DataFrame, keys: DataFrame, min_docs: int, depth: int, min_l
     return own.unionByName(by_leaf).groupBy("line").agg(F.min("first_doc").alias("first_doc"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_literal: float = 0.6, keep_first: bool = False) -> DataFrame:
-    """``docs`` with recurring lines gone from ``text``, and ``n_lines`` and ``n_dropped`` added.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_literal: float = 0.6, keep_first: bool = False, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with recurring lines gone from ``text``, and the numbers of lines and of dropped lines added as ``names``.
 
-    ``n_lines`` counts the lines that are not blank. With ``keep_first`` the smallest ``doc_id`` that has
-    a template keeps its lines.
+    Lines that are blank are not counted. With ``keep_first`` the smallest ``doc_id`` that has a template keeps its lines.
+    A document's recurring keys are dealt to as many buckets as the root of their number, so that a line is looked for
+    in one bucket and not in all keys of a long document.
     """
     keys, _ = stash(lines_of(docs, depth, min_literal).select("doc_id", "leaf", "line", "text_key"), "line-keys")
     gone = keys.select("doc_id", F.coalesce("text_key", "line").alias("line")).join(recurring(docs, keys, min_docs, depth, min_literal), "line")
     if keep_first:
         gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    sets = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    joined = docs.alias("d").join(sets.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", "g._gone")
+    sets = gone.groupBy("doc_id").agg(F.collect_set("line").alias("every")).withColumn("n", F.ceil(F.sqrt(F.size("every"))).cast("int"))
+    lost, kept_lines, key = (free_name(docs, n) for n in ("lost", "kept_lines", "lost_key"))
+    sets = sets.select(F.col("doc_id").alias(key), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda b: F.filter("every", lambda k: F.pmod(k, F.col("n")) == b)).alias(lost))
+    joined = docs.join(sets, docs["doc_id"].eqNullSafe(sets[key]), "left").drop(key)
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda raw: ~F.array_contains("_gone", _key(raw, min_literal)))
-    out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept).otherwise(parts))
+
+    def stays(raw: Column) -> Column:
+        at = F.transform(F.array(_key(raw, min_literal)), lambda k: F.array_contains(F.get(lost, F.pmod(k, F.size(lost)).cast("int")), k))
+        return ~at[0]
+
+    out = joined.withColumn(kept_lines, F.when(F.col(lost).isNotNull(), F.filter(parts, stays)).otherwise(parts))
     filled = lambda column: F.coalesce(F.size(F.filter(column, _filled)), F.lit(0)).cast("long")
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(filled(parts)))
-    out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - filled(F.col("_kept"))))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))).drop("_gone", "_kept")
+    counted = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(filled(parts))
+    dropped = F.when(F.col(lost).isNull(), F.lit(0).cast("long")).otherwise(counted - filled(F.col(kept_lines)))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
+    own = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return out.select(*own, counted.alias(names[0]), dropped.alias(names[1]))

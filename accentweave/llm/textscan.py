@@ -87,9 +87,20 @@ def word_spans(data: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are in order and do not overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each byte span; spans are in order and do not overlap.
+
+    What it holds beside the result follows ``CHUNK_BYTES`` or the longest span.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    upto, i = np.cumsum(ends - starts), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHUNK_BYTES, side="right")))
+        out[i:j] = _span_hashes(data, starts[i:j], ends[i:j])
+        i = j
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lens = ends - starts
     table = _POWERS if lens.max() <= len(_POWERS) else powers(int(lens.max()))
     total = np.cumsum(lens)

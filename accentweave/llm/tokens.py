@@ -7,7 +7,11 @@ block returns its lengths between separators and where its first and last ones a
 the blocks of a file gives each the number of separators before it and the place of the last of them,
 which is all that is needed to number the documents and to measure the one that spans a boundary.
 
-Edge cases. A null or empty text is a document of 0 tokens. Tokens after a file's last separator are a
+Long texts are tokenised in pieces, cut where the pattern always ends a piece: before white space that follows something
+else. A long run of white space is one piece by the pattern, or all but its last character where more follows, and is
+merged as such, as the pattern's search would need a stack as deep as the run.
+
+Edge cases. A vocabulary that holds the separator, or numbers too large for the files, is refused. A null or empty text is a document of 0 tokens. Tokens after a file's last separator are a
 document of their own, marked as not ``complete``. Empty files and tables give no rows. Repeated rows
 are repeated documents.
 """
@@ -15,6 +19,7 @@ are repeated documents.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,14 +38,41 @@ SEPARATOR = 50256
 DTYPE = "<u2"
 
 
-def _encoding(vocabulary: str):
+# A fixed value: the characters that the pattern takes as white space.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(f"(?<=[^{_SPACES}])(?=[{_SPACES}])")
+_RUN = re.compile(f"[{_SPACES}]{{1000,}}")
+
+
+def _encoding(vocabulary: str, separator: int = SEPARATOR, dtype: str = DTYPE):
     import tiktoken
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    if separator in ranks.values() or max(separator, *ranks.values()) > np.iinfo(dtype).max:
+        raise ValueError(f"{vocabulary} holds the separator {separator}, or numbers that {dtype} does not")
     return tiktoken.Encoding("flat", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(encoding, text: str, step: int = 1 << 18) -> Iterator[list[int]]:
+    """The tokens of a text, piece by piece, as ``encode_ordinary`` would give them for the whole."""
+    at = 0
+    for run in _RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield from _between_runs(encoding, text, at, run.start(), step)
+        yield encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    yield from _between_runs(encoding, text, at, len(text), step)
+
+
+def _between_runs(encoding, text: str, at: int, end: int, step: int) -> Iterator[list[int]]:
+    while at < end:
+        cut = _CUT.search(text, min(at + step, end), end) if end - at > step else None
+        stop = cut.start() if cut else end
+        yield encoding.encode_ordinary(text[at:stop])
+        at = stop
+
+
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
     """Writes ``docs(doc_id, text)`` as flat token files, one per task, and returns ``(file, ordinal, doc_id)``.
 
@@ -49,7 +81,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(vocabulary)
+        encoding = _encoding(vocabulary, separator, dtype)
         name = f"{folder}/{uuid.uuid4().hex}.tokens"
         fs, path = pa.fs.FileSystem.from_uri(name)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
@@ -57,8 +89,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
         with fs.open_output_stream(path) as out:
             for batch in batches:
                 for text in batch.column(1):
-                    ids = encoding.encode_ordinary(text.as_py() or "")
-                    out.write(np.array(ids, dtype=dtype).tobytes() + end)
+                    for ids in encode(encoding, text.as_py() or ""):
+                        out.write(np.array(ids, dtype=dtype).tobytes())
+                    out.write(end)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0).cast(pa.int64())], names=["file", "ordinal", "doc_id"])
                 ordinal += n

@@ -2,18 +2,21 @@
 
 Method. A word is the sum of hashed embeddings: of the word and of its first 4, 5 and 6 bytes. Filters of
 several widths run over the words of the whole text; each filter's largest response goes into a logistic
-layer. One component of the
-embeddings starts from the words' log odds; everything is then trained together by gradient descent on about ``per_label`` texts of each label. Every fifth
-of those is left out. On these and all other trainable texts with a label, in the shares of labels that they have,
+layer. Embeddings, filters and layer start at random and are trained together by gradient descent (Adam) on about
+``per_label`` texts and at most ``max_bytes`` bytes of each label, whole texts of at most a 64th of that. While it
+trains, the largest response is at first a soft one, in which all words of a text have a share by their responses, and
+hardens from epoch to epoch; scores use the hard one. Every fifth of the texts is left out. On these and all other
+trainable texts with a label, in the shares of labels that they have,
 it is calibrated: for each language a threshold with the best F1, in the middle of the gap it leaves, and one slope.
 Only counts of logits, in steps of 1/256, come back for that. The score is scaled so that it reaches 0.7 at its language's threshold.
 The language is itself read off the text's words, by hashed word frequencies learnt from the same rows.
 
-Scoring runs the filters once per distinct word of a chunk of text, so its memory follows the longest
-text and the chunk.
+Scoring runs the filters once per distinct word of a chunk of text; the places of a long text are gone through in
+pieces, so its memory is that of the text's word numbers and the chunk.
 
 Edge cases. A null, empty or letterless text has no words and gets the score of an empty text. Null
-labels are not learnt; of several labels of a document the largest counts. With labels of fewer than two
+labels, and those that are no number, are not learnt; a label is toxic if it is above 0, or true, and of several labels of
+a document the largest counts. With labels of fewer than two
 kinds every score is 0. Repeated rows are scored each; a null ``doc_id`` is scored and counts as not
 held out. An empty table gives an empty result.
 """
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .langid import fold, sample
+from .langid import bounded, fold, sample
 from .storage import small_batches
 from .textscan import BYTE_VALUE, mix, powers, row_chunks, span_hashes, texts_of, word_spans
 
@@ -71,45 +74,58 @@ def word_ids(column: pa.Array, bits: int) -> Iterator[tuple[int, np.ndarray, np.
         yield i, (np.stack(buckets, axis=1) >> np.uint64(64 - bits)).astype(np.int64) if len(words) else np.zeros((0, len(PREFIXES) + 1), np.int64), number, np.searchsorted(starts, rows)
 
 
-def _pooled(word_parts: list[np.ndarray], number: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Largest responses of each row's filters, and at which padded word they begin.
+PIECE = 1 << 16  # words
+
+
+def _responses(word_parts: list[np.ndarray], number: np.ndarray, rows: np.ndarray, bias: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All filters' responses at each padded word, and where rows begin and how long they are.
 
     ``word_parts[o]`` of a width are the filters' responses to a word at offset o; rows are padded by
-    empty words, so that each has a window of every width.
+    empty words, so that each has a window of every width. Windows that begin in the last ``skip`` words do not count.
     """
     pad, n = max(WIDTHS), len(rows) - 1
     lens = np.diff(rows) + pad
     begin = np.cumsum(lens) - lens
     place = np.arange(len(number)) + np.repeat(np.arange(n) * pad, np.diff(rows))
-    total, at, best = int(lens.sum()), 0, []
-    where = []
+    total, at = int(lens.sum()), 0
+    out = np.zeros((total + pad, len(bias)), dtype=np.float32)
     for width, parts in zip(WIDTHS, word_parts, strict=True):
-        size = parts[0].shape[1]
-        value = np.zeros((total + pad, size), dtype=np.float32)
+        cols = slice(at, at + parts[0].shape[1])
         for o in range(width):
-            value[pad - o + place] += parts[o][number]
-        value = value[pad:] + bias[at : at + size]
+            out[pad - o + place, cols] += parts[o][number]
         for k in range(width - 1):
-            value[begin + lens - 1 - k] = -np.inf
-        top = np.maximum.reduceat(value, begin, axis=0)
-        hit = np.where(value == np.repeat(top, lens, axis=0), np.arange(total)[:, None], total)
-        where.append(np.minimum.reduceat(hit, begin, axis=0))
-        best.append(top)
-        at += size
-    return np.concatenate(best, axis=1), np.concatenate(where, axis=1)
-
-
-def _logits(model: Model, buckets: np.ndarray, number: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            out[pad + begin + lens - 1 - k, cols] = -np.inf
+        at = cols.stop
+    out = out[pad:] + bias
+    if skip:
+        out[len(number) - skip : len(number)] = -np.inf
+    return out, begin, lens
+
+
+def _tops(word_parts: list[np.ndarray], number: np.ndarray, rows: np.ndarray, bias: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Largest responses of each row's filters; a row of more than ``piece`` words is alone and gone through in pieces."""
+    over = max(WIDTHS) - 1
+    best = []
+    for i in range(0, max(1, len(number)), piece) if len(rows) == 2 else [0]:
+        own = number[i : i + piece + over] if len(rows) == 2 else number
+        skip = over if i + piece + over < len(number) and len(rows) == 2 else 0
+        out, begin, _ = _responses(word_parts, own, np.array([0, len(own)]) if len(rows) == 2 else rows, bias, skip)
+        best.append(np.maximum.reduceat(out, begin, axis=0))
+    return np.maximum.reduce(best)
+
+
+def _logits(model: Model, buckets: np.ndarray, number: np.ndarray, rows: np.ndarray, piece: int = PIECE) -> np.ndarray:
     x = model.emb[buckets].sum(axis=1)
     parts = [[x @ f[o] for o in range(len(f))] for f in model.filters]
-    top, _ = _pooled(parts, number, rows, model.bias)
-    return np.maximum(top, 0) @ model.out + model.out_bias
+    return np.maximum(_tops(parts, number, rows, model.bias, piece), 0) @ model.out + model.out_bias
 
 
 def _language(model: Model, buckets: np.ndarray, number: np.ndarray, rows: np.ndarray) -> np.ndarray:
     sums = np.zeros((len(rows) - 1, len(model.languages)))
     full = np.flatnonzero(np.diff(rows) > 0)
-    if len(full):
+    if len(full) == 1:
+        sums[full[0]] = np.bincount(number, minlength=len(buckets)) @ model.word_logs[buckets[:, 0]]
+    elif len(full):
         sums[full] = np.add.reduceat(model.word_logs[buckets[:, 0]][number].astype(np.float64), rows[full], axis=0)
     return sums.argmax(axis=1)
 
@@ -118,80 +134,98 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None], bits: int, dim: int = 12, filters: int = 8, epochs: int = 6, rate: float = 0.1, batch: int = 32, seed: int = 11) -> tuple[Model, np.ndarray]:
+class Adam:
+    """Adam's running moments of some arrays, which it changes in place."""
+
+    def __init__(self, arrays: list[np.ndarray], rate: float):
+        self.arrays, self.rate, self.step = arrays, rate, 0
+        self.mean, self.square = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays]
+
+    def update(self, grads: list) -> None:
+        """A gradient is an array, or the rows of one that it has and their gradients; other rows stay as they are."""
+        self.step += 1
+        rate = self.rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+        for array, mean, square, grad in zip(self.arrays, self.mean, self.square, grads, strict=True):
+            at, grad = grad if isinstance(grad, tuple) else (slice(None), grad)
+            mean[at] = 0.9 * mean[at] + 0.1 * grad
+            square[at] = 0.999 * square[at] + 0.001 * grad * grad
+            array[at] -= rate * mean[at] / (np.sqrt(square[at]) + 1e-8)
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None], bits: int, dim: int = 12, filters: int = 8, epochs: int = 5, least_steps: int = 50, spread: float = 0.005, rate: float = 0.03, batch: int = 32, seed: int = 11) -> tuple[Model, np.ndarray]:
     """A model that is not calibrated, and which texts it is fitted on: all but every fifth.
 
-    ``texts``: each text's distinct words' buckets and its words' numbers among them.
+    ``texts``: each text's distinct words' buckets and its words' numbers among them. A small sample is gone
+    through more than ``epochs`` times, for ``least_steps`` batches. With no ``epochs`` the model is as random as it starts.
     """
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     fit = np.array([k for i, k in enumerate(order) if i % 5])
-    emb = rng.normal(0, 0.02, (1 << bits, dim)).astype(np.float32)
-    emb[:, 0] = log_odds([texts[k][0] for k in fit], labels[fit], bits)
-    banks = [rng.normal(0, 0.1, (w, dim, filters)).astype(np.float32) for w in WIDTHS]
-    for bank in banks:
-        bank[:, 0] = np.abs(bank[:, 0])
-        bank[0, 0, 0] = 1
-    bias, out, out_bias = np.zeros(filters * len(WIDTHS), np.float32), np.full(filters * len(WIDTHS), 0.1, np.float32), 0.0
-    seen = [np.full_like(a, 1.0) for a in (*banks, bias, out)]
+    emb = rng.normal(0, spread, (1 << bits, dim)).astype(np.float32)
+    banks = [rng.normal(0, (w * dim) ** -0.5, (w, dim, filters)).astype(np.float32) for w in WIDTHS]
+    n = filters * len(WIDTHS)
+    bias, out = np.zeros(n, np.float32), rng.normal(0, n**-0.5, n).astype(np.float32)
+    base = np.array([np.log(labels[fit].mean() / (1 - labels[fit].mean()))], np.float32)
+    adam = Adam([emb, *banks, bias, out, base], rate)
 
     def gathered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.cumsum([0, *[len(texts[k][0]) for k in rows]])
         number = np.concatenate([texts[k][1] + sizes[i] for i, k in enumerate(rows)])
         return np.concatenate([texts[k][0] for k in rows]), number, np.cumsum([0, *[len(texts[k][1]) for k in rows]])
 
-    def adagrad(k: int, target: np.ndarray, grad: np.ndarray) -> None:
-        seen[k] += grad * grad
-        target -= rate * grad / np.sqrt(seen[k])
-
-    pad = max(WIDTHS)
-    for _ in range(epochs):
+    def batches() -> Iterator[np.ndarray]:
+        """Up to ``batch`` texts, and only one if it has more than ``PIECE`` words."""
         rng.shuffle(fit)
-        for k in range(0, len(fit), batch):
-            rows = fit[k : k + batch]
+        rows, words = [], 0
+        for k in fit:
+            if rows and (len(rows) == batch or words + len(texts[k][1]) > PIECE):
+                yield np.array(rows)
+                rows, words = [], 0
+            rows.append(k)
+            words += len(texts[k][1])
+        yield np.array(rows)
+
+    passes = max(epochs, -(-least_steps * batch // len(fit))) if epochs else 0
+    for turn in range(passes):
+        hard, adam.rate = np.float32(2.0 * 32.0 ** (turn / passes)), rate * (1 - 0.9 * turn / passes)
+        for rows in batches():
             buckets, number, at = gathered(rows)
             x = emb[buckets].sum(axis=1)
-            top, where = _pooled([[x @ f[o] for o in range(len(f))] for f in banks], number, at, bias)
-            deep = np.maximum(top, 0)
-            wrong = ((_sigmoid(deep @ out + out_bias) - labels[rows]) / len(rows)).astype(np.float32)
-            back = wrong[:, None] * out * (top > 0)
-            lens = np.diff(at) + pad
-            begin = np.cumsum(lens) - lens
-            word = np.full(int(lens.sum()) + pad, -1)
-            word[np.arange(len(number)) + np.repeat(np.arange(len(rows)) * pad, np.diff(at))] = number
-            into = np.zeros((len(buckets), dim), dtype=np.float32)
+            value, begin, lens = _responses([[x @ f[o] for o in range(len(f))] for f in banks], number, at, bias)
+            top = np.maximum.reduceat(value, begin, axis=0)
+            share = np.exp(hard * (value - np.repeat(top, lens, axis=0)))
+            share /= np.repeat(np.add.reduceat(share, begin, axis=0), lens, axis=0)
+            soft = np.add.reduceat(share * np.where(share > 0, value, 0), begin, axis=0)
+            deep = np.maximum(soft, 0)
+            wrong = ((_sigmoid(deep @ out + base) - labels[rows]) / len(rows)).astype(np.float32)
+            back = wrong[:, None] * out * (soft > 0)
+            # What each place's responses get of the gradient, and from there each distinct word.
+            each = share * np.repeat(back, lens, axis=0)
+            place = np.arange(len(number)) + np.repeat(np.arange(len(rows)) * max(WIDTHS), np.diff(at))
+            into, grads = np.zeros((len(buckets), dim), dtype=np.float32), []
+            sorted_by = np.argsort(number, kind="stable")
+            first = np.flatnonzero(np.diff(number[sorted_by], prepend=-1))
             for b, bank in enumerate(banks):
-                cols = slice(b * filters, (b + 1) * filters)
                 grad = np.zeros_like(bank)
+                own = each[:, b * filters : (b + 1) * filters]
                 for o in range(len(bank)):
-                    w = word[where[:, cols] + o]
-                    g = np.where(w >= 0, back[:, cols], 0)
-                    grad[o] = np.einsum("rfd,rf->df", x[w], g)
-                    np.add.at(into, w.ravel(), (g[:, :, None] * bank[o].T).reshape(-1, dim))
-                adagrad(b, bank, grad)
-            adagrad(len(banks), bias, back.sum(axis=0))
-            adagrad(len(banks) + 1, out, wrong @ deep)
-            out_bias -= rate * float(wrong.sum())
-            live = np.flatnonzero(np.any(into != 0, axis=1))
-            np.add.at(emb, buckets[live].ravel(), -rate * np.repeat(into[live], buckets.shape[1], axis=0))
+                    start = place - o
+                    felt = np.where(((place - np.repeat(begin, np.diff(at))) >= o)[:, None], own[start], 0)
+                    word = np.add.reduceat(felt[sorted_by], first, axis=0)  # every distinct word has a place
+                    grad[o] = x.T @ word
+                    into += word @ bank[o].T
+                grads.append(grad)
+            ids, which = np.unique(buckets, return_inverse=True)
+            rows_grad = np.zeros((len(ids), dim), np.float32)
+            np.add.at(rows_grad, which.ravel(), np.repeat(into, buckets.shape[1], axis=0))
+            adam.update([(ids, rows_grad), *grads, back.sum(axis=0), wrong @ deep, wrong.sum(keepdims=True)])
     names = sorted({v for v in langs if v is not None}) or ["und"]
     counts = np.full((1 << bits, len(names)), 0.1)
     for k in fit:
         if langs[k] is not None:
             np.add.at(counts[:, names.index(langs[k])], texts[k][0][texts[k][1], 0], 1)
     logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    return Model(bits, emb, banks, bias, out, out_bias, names, logs, np.zeros(len(names)), 1.0), fit
-
-
-def log_odds(bags: list[np.ndarray], labels: np.ndarray, bits: int, prior: float = 2.0) -> np.ndarray:
-    """Smoothed log ratio of the shares of texts with label 1 and 0 that have each bucket, centred and scaled."""
-    counts = np.zeros((2, 1 << bits))
-    for bag, y in zip(bags, labels, strict=True):
-        counts[int(y), np.unique(bag)] += 1
-    share = (counts + prior) / (np.array([[(labels == 0).sum()], [(labels == 1).sum()]]) + 2 * prior)
-    odds = np.log(share[1] / share[0])
-    odds -= np.median(odds)
-    return (odds * counts.sum(axis=0) / (counts.sum(axis=0) + prior) / 4).astype(np.float32)
+    return Model(bits, emb, banks, bias, out, float(base[0]), names, logs, np.zeros(len(names)), 1.0), fit
 
 
 def best_cut(clean: np.ndarray, toxic: np.ndarray, default: float = 0.0) -> float:
@@ -226,9 +260,10 @@ def calibrate(docs: DataFrame, marks: DataFrame, fitted: DataFrame, model: Model
 
     rows = docs.join(F.broadcast(fitted), "doc_id", "left_anti").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = rows.mapInArrow(run, "doc_id long, number int, step int").join(marks, "doc_id")
-    counts = found.groupBy("number", (F.col("mark").cast("int") > 0).cast("int").alias("toxic"), "step").agg(F.count("*").alias("n")).toArrow()
+    counts = found.groupBy("number", F.col("mark").alias("toxic"), "step").agg(F.count("*").alias("n")).toArrow()
     seen = np.zeros((len(model.languages), 2, 2 * SPAN * STEPS))
     seen[tuple(counts[c].to_numpy() for c in ("number", "toxic", "step"))] = counts["n"].to_numpy()
+    shared.destroy()
     every = best_cut(*seen.sum(axis=0))
     thresholds = np.array([best_cut(*own, every) for own in seen])
     lang, toxic, step = np.nonzero(seen)
@@ -240,14 +275,17 @@ def calibrate(docs: DataFrame, marks: DataFrame, fitted: DataFrame, model: Model
     return replace(model, thresholds=thresholds, slope=slope)
 
 
-def fit(docs: DataFrame, labels: DataFrame, trainable: Column, per_label: int = 2500, bits: int = 16, seed: int = 11) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, trainable: Column, per_label: int = 2500, max_bytes: int = 16 << 20, bits: int = 16, seed: int = 11) -> Model | None:
     """Trains on ``docs(doc_id, text, lang)`` with ``labels(doc_id, label)``, on rows for which ``trainable`` holds.
 
-    Weights are learnt from a sample of about ``per_label`` rows of each label, thresholds from all other rows.
+    Weights are learnt from a sample of about ``per_label`` rows and at most ``max_bytes`` bytes of each label, thresholds
+    from all other rows.
     """
-    marks = labels.where("label is not null").groupBy("doc_id").agg(F.max("label").cast("string").alias("mark"))
-    chosen = sample(marks.where(trainable), F.col("mark"), per_label, seed).withColumnRenamed("label", "mark")
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "mark", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    value = F.col("label").try_cast("double")
+    marks = labels.where(value.isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((value > 0).cast("int")).alias("mark"))
+    chosen = sample(marks.where(trainable), "mark", per_label, seed).select("doc_id", "mark")  # about twice per_label rows
+    found = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = bounded(found, "mark", max_bytes, seed)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,20 +294,21 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, per_label: int =
                 _, buckets, number, _ = next(word_ids(batch.column(3).slice(k, 1), bits))
                 found.append((buckets.ravel().astype(np.int32), number.astype(np.int32)))
             arrays = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), batch.column(2).cast(pa.string()), *arrays], names=["doc_id", "mark", "lang", "buckets", "number"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2).cast(pa.string()), batch.column(4), *arrays], names=["doc_id", "mark", "lang", "form", "buckets", "number"])
 
-    got = rows.mapInArrow(bags, "doc_id long, mark string, lang string, buckets array<int>, number array<int>").toArrow().sort_by("doc_id")
-    y = np.array([int(v.as_py()) > 0 for v in got["mark"]], dtype=np.float32)
+    got = rows.select("doc_id", "mark", "lang", "text", "form").mapInArrow(bags, "doc_id long, mark int, lang string, form long, buckets array<int>, number array<int>").toArrow().sort_by([("doc_id", "ascending"), ("form", "ascending")])
+    y = got["mark"].to_numpy().astype(np.float32)
     if len(y) < 10 or y.min() == y.max():
         return None
-    parts = []
+    ids, langs, parts = got["doc_id"].to_numpy(), got["lang"].to_pylist(), []
     for name in ("buckets", "number"):
         column = got[name].combine_chunks()
+        got = got.drop_columns(name)
         flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
         parts.append([flat[at[k] : at[k + 1]] for k in range(len(y))])
     texts = [(a.reshape(-1, len(PREFIXES) + 1), b) for a, b in zip(*parts, strict=True)]
-    model, used = train(texts, y, got["lang"].to_pylist(), bits, seed=seed)
-    fitted = docs.sparkSession.createDataFrame([(k,) for k in set(got["doc_id"].take(pa.array(used)).to_pylist())], "doc_id long")
+    model, used = train(texts, y, langs, bits, seed=seed)
+    fitted = docs.sparkSession.createDataFrame([(int(k),) for k in np.unique(ids[used])], "doc_id long")
     return calibrate(docs.where(trainable).select("doc_id", "text"), marks, fitted, model)
 
 

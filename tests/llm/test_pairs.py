@@ -70,6 +70,26 @@ def test_chain_of_links_is_one_component(spark):
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
 
+def test_rows_without_a_number_are_returned_if_asked_for(spark):
+    rows = [(1, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (2, "A b c d e f g"), (None, "x y")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), null_ids=True).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(1, 3, 1), (2, 3, 1), (None, 3, None), (None, 0, None), (None, 1, None)]))
+
+
+def test_crowded_shingles(spark, monkeypatch):
+    """With every shingle counted in parts, the result is the same."""
+    monkeypatch.setattr(jaccard, "_classes", lambda counts, real=jaccard._classes: (real(counts)[0], 0))
+    rng = random.Random(4)
+    rows = []
+    for k in range(40):
+        words = [f"w{j}" for j in range(60)]
+        for at in rng.sample(range(60), k % 5):
+            words[at] = f"e{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute_components(rows)
+
+
 def test_one_of_each_group_stays(corpus, rows):
     kept = jaccard.keep_one(corpus)
     assert kept.columns == corpus.columns
@@ -96,8 +116,8 @@ def test_prefix_tree_finds_what_plain_comparison_finds():
         assert set(tree.similar(probe, 80)) == want
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_connected_components(spark, seed):
+@pytest.mark.parametrize(("seed", "links_a_task"), [(0, 1 << 20), (1, 20), (2, 7)])
+def test_connected_components(spark, seed, links_a_task):
     rng = random.Random(seed)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 130)]
     root = {}
@@ -111,8 +131,20 @@ def test_connected_components(spark, seed):
     for a, b in links:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = components.components(spark.createDataFrame(links, "a long, b long"))
-    assert {(r["node"], r["root"]) for r in got.collect()} == {(a, find(a)) for pair in links if pair[0] != pair[1] for a in pair}
+    want = {(a, find(a)) for pair in links if pair[0] != pair[1] for a in pair}
+    got = components.components(spark.createDataFrame(links, "a long, b long"), links_a_task)
+    assert {(r["node"], r["root"]) for r in got.collect()} == want
+
+
+def test_contraction_of_links():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    got = dict(zip(*(v.tolist() for v in components.contract(a, b)), strict=True))
+    root = {}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        same = {x, y} | {n for n, r in root.items() if r in (root.get(x, x), root.get(y, y))}
+        root |= dict.fromkeys(same, min(min(same), *(root.get(n, n) for n in same)))
+    assert got == {n: r for n, r in root.items() if n != r}
 
 
 def brute_cut(rows, window=50):
@@ -183,6 +215,34 @@ def test_neighbours_reach_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize(("least", "recall"), [(40, 0.4), (400, 0.9)])
+def test_neighbours_of_clusters_need_few_candidates(spark, least, recall):
+    """Far more vectors than ``least``: queries descend beyond the counted bits and still find their clusters."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(250, 24))
+    x = np.repeat(centres, 20, axis=0) + rng.normal(size=(5000, 24)) * 0.05
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(table, table.where("vec_id % 50 = 0"), k=10, share=0.0, least=least).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 5000, 50):
+        true = x @ x[q]
+        true[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-true)[:10].tolist()))
+    assert hits >= recall * 10 * 100
+
+
+def test_longer_prefixes_are_counted():
+    rng = np.random.default_rng(8)
+    code = np.sort(rng.integers(0, 1 << 20, 300, dtype=np.uint64) << np.uint64(40))
+    own = np.concatenate([code[:5], rng.integers(0, 1 << 60, 5, dtype=np.uint64)])
+    got = neighbours.longer_prefixes(code, own)
+    for r, c in enumerate(own.tolist()):
+        for k, bits in enumerate(range(neighbours.DEPTH + 1, neighbours.BITS + 1)):
+            assert got[r, k] == sum(v >> (64 - bits) == c >> (64 - bits) for v in code.tolist())
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 4.0), (2, 2, 4.0)]

@@ -102,6 +102,33 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {k for k, _, _ in rows[:180] if got[k]["lang_kept"]} - {None}
 
 
+def test_language_of_long_texts_is_the_sum_of_its_pieces(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b"], rng.normal(size=(1 << 10, 2)).astype(np.float32), np.zeros(2), np.zeros(2), 10.0, 10)
+    column = pa.array([" ".join(prose(1, 500)), "É" * 700, None, "a", " ".join(prose(2, 30))])
+    whole, pieces = langid.predict(column, model), langid.predict(column, model, piece=64)
+    assert np.array_equal(whole[0], pieces[0]) and np.allclose(whole[1], pieces[1], atol=1e-5)
+
+
+def test_columns_with_clashing_names_keep_their_values(spark):
+    words = {"aa": "the and of with that", "bb": "der und die nicht mit"}
+    rng = random.Random(0)
+    rows = [(k, " ".join(rng.choice(words[lang].split()) for _ in range(30)), lang) for k, lang in enumerate(list(words) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("lang_pred", "lang_score", "lang_kept", "n_lines", "n_dropped", "form", "_form", "lost", "line", "n", "row", "n_chars"):
+        docs = docs.withColumn(name, F.col("doc_id") + 7)
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(r[c] == r["doc_id"] + 7 for r in kept for c in docs.columns[3:-1]), name
+
+
 def test_language_id_without_labels(spark, empty):
     docs = spark.createDataFrame([(1, "a text", None)], "doc_id long, text string, lang string")
     model = langid.fit(docs, F.lit(True))
@@ -133,6 +160,41 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_is_learnt_from_random_starts():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    column, y = [], []
+    for k in range(1200):
+        text = prose(k, rng.randrange(10, 120))
+        y.append(float(k % 4 == 0))
+        if k % 4 == 0:
+            text[rng.randrange(len(text))] = rng.choice(["vile", "foul", "rotten"])
+        column.append(" ".join(text))
+    texts = []
+    for k in range(len(column)):
+        _, buckets, number, _ = next(toxicity.word_ids(pa.array(column[k : k + 1]), 14))
+        texts.append((buckets, number))
+    y, found = np.array(y, np.float32), {}
+    for epochs in (0, 5):
+        model, _ = toxicity.train(texts[:800], y[:800], ["en"] * 800, 14, epochs=epochs)
+        z = np.concatenate([toxicity._logits(model, b, n, np.array([0, len(n)])) for b, n in texts[800:]])
+        right = np.cumsum(y[800:][np.argsort(-z)])
+        found[epochs] = max(2 * right / (np.arange(1, 401) + y[800:].sum()))
+    assert found[0] < 0.5 and found[5] >= 0.9
+    b, n = texts[801]
+    long = np.tile(n, 50)
+    assert np.allclose(toxicity._logits(model, b, long, np.array([0, len(long)]), piece=17), toxicity._logits(model, b, long, np.array([0, len(long)])))
+
+
+def test_toxicity_labels_of_other_types(spark):
+    docs = spark.createDataFrame([(k, "foul word" if k % 2 else "kind word", "en") for k in range(40)], "doc_id long, text string, lang string")
+    for kind in ("boolean", "double", "string"):
+        model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").cast(kind).alias("label")), F.lit(True))
+        assert {r["doc_id"] % 2 for r in toxicity.score(docs, model).where("toxic = 1").collect()} == {1}
+
+
 def test_toxicity_thresholds_see_the_true_shares(spark):
     rng = random.Random(6)
     rows, marks = [], []
@@ -209,6 +271,15 @@ def test_line_dedup_of_numbers(spark):
     assert kept == {k: 4 if k else 0 for k in range(12)}
 
 
+def test_line_dedup_of_a_document_with_many_recurring_lines(spark):
+    lines = [f"{a} {b} line" for a in prose(1, 40, 60) for b in prose(2, 40, 60)]
+    docs = spark.createDataFrame([(k, "\n".join(lines[:: k + 1]) + f"\nown {'abcdef'[k]}") for k in range(6)], "doc_id long, text string")
+    gone = plain_templates([(r["doc_id"], r["text"]) for r in docs.collect()], 4, 3, 0.6)
+    got = {r["doc_id"]: r["text"].split("\n") for r in templates.dedup_lines(docs, min_docs=4).collect()}
+    for r in docs.collect():
+        assert got[r["doc_id"]] == [line for n, line in enumerate(r["text"].split("\n")) if (r["doc_id"], n) not in gone]
+
+
 def test_line_dedup_of_nothing(empty):
     assert templates.dedup_lines(empty).count() == 0
 
@@ -230,6 +301,12 @@ def test_licences(spark, empty):
     assert license.scan(empty).count() == 0
 
 
+def test_notices_by_row(spark):
+    rows = [(7, "MIT License\nReleased under the MIT License."), (7, "Released under the MIT License."), (None, "All rights reserved."), (None, "none"), (7, "Released under the MIT License.")]
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string"), by_row=True).collect()
+    assert sorted((str(r["doc_id"]), r["notices"], r["n_notices"]) for r in got) == [("7", "MIT", 1)] * 3 + [("None", "", 0), ("None", "Proprietary", 1)]
+
+
 def test_licence_files(spark):
     short, full = dict(license.LICENCES), dict(license.full_texts()[: len(list(license.TEXTS.glob("*.txt")))])
     owner = "Copyright (c) 2020 Someone\n"
@@ -262,6 +339,28 @@ def test_token_counts_round_trip(corpus, spark, block_bytes):
     assert got == Counter((r["doc_id"], len(encoding.encode_ordinary(r["text"] or ""))) for r in corpus.collect() if r["text"] is None or len(r["text"]) < 3000)
 
 
+def test_long_texts_are_tokenised_in_pieces(spark, tmp_path):
+    encoding = tokens._encoding(tokens.VOCABULARY)
+    rng = random.Random(1)
+    parts = ["a", " ", "\n", "\t", "  ", " the", "'ll", "12", "é", "\u3000", "\xa0", "?? ", "\x1c", " " * 1500, "\n" * 1200 + " "]
+    for _ in range(100):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(60)))
+        assert all([t for piece in tokens.encode(encoding, text, step) for t in piece] == encoding.encode_ordinary(text) for step in (1 << 18, 7))
+    rows = [(1, " " * 5_000_000), (2, "x" * 5_000_000), (3, "the cat " * 300_000), (4, None)]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4] == 0 and got[3] == len(encoding.encode_ordinary(rows[2][1])) and got[1] > 0 and got[2] > 0
+    with pytest.raises(ValueError, match="separator"):
+        tokens._encoding(tokens.VOCABULARY, separator=100)
+    with pytest.raises(ValueError, match="separator"):
+        tokens._encoding(tokens.VOCABULARY, dtype="<u1")
+
+
+def test_whole_texts_of_all_lengths_are_tokenised(corpus):
+    encoding = tokens._encoding(tokens.VOCABULARY)
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in tokens.token_counts(corpus).collect())
+    assert got == Counter((r["doc_id"], len(encoding.encode_ordinary(r["text"] or ""))) for r in corpus.collect())
+
+
 def test_token_scan_of_open_ends(spark, tmp_path, empty):
     import numpy as np
 
@@ -306,6 +405,14 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, benchmark).count() == 0
 
 
+def test_decontamination_of_many_copies(spark):
+    """Many copies of a leaked text, and of a text that repeats a window, are judged as one text."""
+    item = "Yesterday Anna bought 12 apples for 3 dollars each. How much did Anna pay for the apples in total?"
+    copies = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(item)).otherwise(F.lit(" ".join(prose(1, 40)))).alias("text"))
+    got = decontaminate.contaminated(copies, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.where("doc_id % 3 = 0 and item_id = 1 and coverage = 1").count() == got.count() == 1000
+
+
 def test_decontamination_behind_look_alikes(spark):
     item = "Yesterday Anna bought 12 apples for 3 dollars each. How much did Anna pay for the apples in total?"
     alike = "Yesterday Marta bought 40 apples for 7 dollars each. How much did Peter pay for the apples in total?"
