@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, line dedup, near duplicates, decontamination, mixing.
 
 Each stage is a function of (spark, docs, sf_dir) on all that its predecessor kept, written as Parquet and
-read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+read again as the next one's ``docs``. All but the last return the columns of ``documents``, with whatever names and values
+they came, texts and ``n_chars`` of :func:`line_dedup` apart.
+
+Rows. A null or letterless text goes at the first stage, if anything is labelled there; later stages keep such rows. Rows with
+a null ``doc_id`` are never near duplicates; of rows with equal ``doc_id`` and text one stays. Ties go to the smaller
+``doc_id``. Empty tables pass through empty.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accentweave.llm import decontaminate, jaccard, langid, mixing, templates
-from accentweave.llm.storage import stash
+from accentweave.llm.storage import free_name, stash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; ``n_chars`` follows. No document goes."""
-    out = templates.dedup_lines(docs, keep_first=True)
+    names = (free_name(docs, "n_lines"), free_name(docs, "n_dropped"))
+    out = templates.dedup_lines(docs, keep_first=True, names=names)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(names[1]) > 0, length).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
