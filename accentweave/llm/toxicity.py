@@ -2,7 +2,7 @@
 
 Method. A word is the sum of hashed embeddings: of the word and of its first 4, 5 and 6 bytes. Filters of
 several widths run over the words of the whole text; each filter's largest response goes into a logistic
-layer. Embeddings, filters and layer start at random and are trained together by gradient descent (Adam) on about
+layer. Embeddings, filters and layer start at random and are trained together by gradient descent on about
 ``per_label`` texts and at most ``max_bytes`` bytes of each label, whole texts of at most a 64th of that. While it
 trains, the largest response is at first a soft one, in which all words of a text have a share by their responses, and
 hardens from epoch to epoch; scores use the hard one. Every fifth of the texts is left out. On these and all other
@@ -142,21 +142,21 @@ class Adam:
         self.mean, self.square = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays]
 
     def update(self, grads: list) -> None:
-        """A gradient is an array, or the rows of one that it has and their gradients; other rows stay as they are."""
         self.step += 1
         rate = self.rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
         for array, mean, square, grad in zip(self.arrays, self.mean, self.square, grads, strict=True):
-            at, grad = grad if isinstance(grad, tuple) else (slice(None), grad)
-            mean[at] = 0.9 * mean[at] + 0.1 * grad
-            square[at] = 0.999 * square[at] + 0.001 * grad * grad
-            array[at] -= rate * mean[at] / (np.sqrt(square[at]) + 1e-8)
+            mean[:] = 0.9 * mean + 0.1 * grad
+            square[:] = 0.999 * square + 0.001 * grad * grad
+            array -= rate * mean / (np.sqrt(square) + 1e-8)
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None], bits: int, dim: int = 12, filters: int = 8, epochs: int = 5, least_steps: int = 50, spread: float = 0.005, rate: float = 0.03, batch: int = 32, seed: int = 11) -> tuple[Model, np.ndarray]:
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None], bits: int, dim: int = 12, filters: int = 8, epochs: int = 5, least_steps: int = 60, spread: float = 0.005, rate: float = 0.02, pace: float = 30.0, batch: int = 32, seed: int = 11) -> tuple[Model, np.ndarray]:
     """A model that is not calibrated, and which texts it is fitted on: all but every fifth.
 
     ``texts``: each text's distinct words' buckets and its words' numbers among them. A small sample is gone
-    through more than ``epochs`` times, for ``least_steps`` batches. With no ``epochs`` the model is as random as it starts.
+    through more than ``epochs`` times, for ``least_steps`` batches.
+    Filters and layer go by Adam at ``rate``, embeddings by plain steps at ``pace``, so that words move by how often they
+    matter. With no ``epochs`` the model is as random as it starts.
     """
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
@@ -166,7 +166,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
     n = filters * len(WIDTHS)
     bias, out = np.zeros(n, np.float32), rng.normal(0, n**-0.5, n).astype(np.float32)
     base = np.array([np.log(labels[fit].mean() / (1 - labels[fit].mean()))], np.float32)
-    adam = Adam([emb, *banks, bias, out, base], rate)
+    adam = Adam([*banks, bias, out, base], rate)
 
     def gathered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.cumsum([0, *[len(texts[k][0]) for k in rows]])
@@ -218,7 +218,8 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs:
             ids, which = np.unique(buckets, return_inverse=True)
             rows_grad = np.zeros((len(ids), dim), np.float32)
             np.add.at(rows_grad, which.ravel(), np.repeat(into, buckets.shape[1], axis=0))
-            adam.update([(ids, rows_grad), *grads, back.sum(axis=0), wrong @ deep, wrong.sum(keepdims=True)])
+            emb[ids] -= pace * (1 - 0.9 * turn / passes) * rows_grad
+            adam.update([*grads, back.sum(axis=0), wrong @ deep, wrong.sum(keepdims=True)])
     names = sorted({v for v in langs if v is not None}) or ["und"]
     counts = np.full((1 << bits, len(names)), 0.1)
     for k in fit:

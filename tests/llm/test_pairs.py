@@ -221,6 +221,7 @@ def test_neighbours_of_clusters_need_few_candidates(spark, least, recall):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(250, 24))
     x = np.repeat(centres, 20, axis=0) + rng.normal(size=(5000, 24)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = defaultdict(set)
     for r in neighbours.nearest(table, table.where("vec_id % 50 = 0"), k=10, share=0.0, least=least).collect():
