@@ -74,16 +74,13 @@ def fix_capital(source: Column, target: Column) -> Column:
 
 
 def close_up(text: Column) -> Column:
-    """One space goes before each punctuation character, one pass per character; around ``-`` on both sides.
+    """One space goes before each punctuation character, and two before and one after ``-``, of as many as there are.
 
-    Then ``~`` becomes ``-`` again. Runs of spaces are not collapsed, and the order of the passes counts.
+    Then ``~`` becomes ``-`` again. Runs of spaces are not collapsed: a pass for each character takes one space from a run
+    at most, so what all passes take is known from the characters at both ends of it, and one search takes it.
     """
-    for c in C.CLOSE_UP:
-        if c == "-":
-            text = F.replace(text, F.lit(" -"), F.lit("-"))
-            text = F.replace(text, F.lit("- "), F.lit("-"))
-        text = F.replace(text, F.lit(f" {c}"), F.lit(c))
-    return F.replace(text, F.lit("~"), F.lit("-"))
+    others = "".join(f"\\{c}" for c in C.CLOSE_UP if c != "-")
+    return F.replace(F.regexp_replace(text, f" {{1,2}}(?=-)| (?=[{others}])|(?<=-) ", ""), F.lit("~"), F.lit("-"))
 
 
 def close_up_plain(text: Column) -> Column:

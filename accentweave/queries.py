@@ -7,21 +7,27 @@ is a multiple of seven has both readings, and so on.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import charsets as C
 from .functions import text as T
 from .functions import words as W
+from .functions.composed import with_form
 from .functions.sentences import sentences
-from .operators import lookups
+from .functions.tokenizers import WordPieceTokenizer
+from .operators import lookups, probe
 from .operators.gates import Gates, NativeAccentGate, NativeHomographGate, NativeUsageGate, NativeYoGate
-from .operators.homographs import candidates, choose
+from .operators.homographs import candidates, resolve
 from .operators.scorers import words_from_token_scores
 from .plans.engine import Engine
-from .sources.lexicon import Lexicon, lower_unique, overlay, validate
+from .sources.lexicon import Lexicon, byte_order, lower_unique, overlay, read_json_map, sampled, validate
+from .sources.pack import read_pack, write_pack
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC = "абцдефгхийклмнопярстуввхыз"
@@ -162,6 +168,19 @@ def softmax_argmax(spark, sf_dir):
     return p.select("vec_id", T.argmax(F.col("z")).cast("long").alias("best"), *[F.round(F.get("p", F.lit(k)), 9).alias(f"p{k}") for k in range(3)])
 
 
+def char_classes(spark, sf_dir):
+    """What every character that occurs is."""
+    chars = _docs(spark, sf_dir).select(F.explode(F.split(F.concat("t", F.lit("\xa0\u2003_Ёё٣Ⅳ²")), "")).alias("c")).where("c <> ''").distinct()
+    c = F.col("c")
+    return chars.select(F.hex(F.encode("c", "UTF-8")).alias("c"), T.is_space(c).alias("space"), T.is_digit(c).alias("digit"), T.is_word(c).alias("word"), T.is_upper(c).alias("upper"))
+
+
+def composed(spark, sf_dir):
+    """Text with decomposed letters, put together again."""
+    apart = F.replace(F.replace("t", F.lit("й"), F.lit("и\u0306")), F.lit("е"), F.lit("е\u0308"))
+    return with_form(_docs(spark, sf_dir).select("doc_id", apart.alias("apart")), "apart", "whole", "NFC").select("doc_id", *_text(F.col("whole")))
+
+
 # Words and sentences ----------------------------------------------------------------------------------------
 
 
@@ -226,6 +245,72 @@ def key_order(spark, sf_dir):
     return _vocabulary(spark, sf_dir).select("word", F.row_number().over(by).cast("long").alias("place"))
 
 
+def global_key_order(spark, sf_dir):
+    return byte_order(_vocabulary(spark, sf_dir))
+
+
+def seeded_sample(spark, sf_dir):
+    """A sample of the dictionary and two words that are always in it."""
+    return sampled(_accents(_vocabulary(spark, sf_dir)), 200, 44238, ["тхе", "оф", "анд"]).select("word", "stressed")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder for a query's own files: a new one in the folder that ``spark.checkpoint.dir`` names, in local tests in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="accentweave-")
+
+
+def _packed(table: DataFrame, dictionary: str) -> DataFrame:
+    path = f"{_scratch(table.sparkSession)}/{dictionary}.rapack"
+    write_pack(table, path, dictionary)
+    return read_pack(table.sparkSession, path, dictionary)
+
+
+def pack_accents(spark, sf_dir):
+    """Written as a binary pack and read again."""
+    return _packed(_accents(_vocabulary(spark, sf_dir)), "accents")
+
+
+def pack_omographs(spark, sf_dir):
+    return _packed(_omographs(_vocabulary(spark, sf_dir)), "omographs").select("word", F.array_join("variants", "|").alias("variants"))
+
+
+def pack_yo_words(spark, sf_dir):
+    return _packed(_yo_words(_vocabulary(spark, sf_dir)), "yo_words")
+
+
+def json_accents(spark, sf_dir):
+    """Written as one gzipped JSON object, as dictionaries are laid down, and read again."""
+    path = f"{_scratch(spark)}/accents"
+    entries = _accents(_vocabulary(spark, sf_dir)).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "stressed")))))
+    entries.write.option("compression", "gzip").text(path)
+    return read_json_map(spark, path).select("word", F.col("value").alias("stressed"))
+
+
+def wordpiece_tokens(spark, sf_dir):
+    """The words in pieces: three letters at the beginning, then pairs that some word ends in, else single letters."""
+    words = _vocabulary(spark, sf_dir)
+    pieces = words.select(F.explode(F.array(F.substring("word", 1, 3), F.concat(F.lit("##"), F.substring("word", -2, 2)))).alias("p")).where(F.length(F.replace("p", F.lit("##"), F.lit(""))) + F.col("p").startswith("##").cast("int") == 3)
+    letters = [lead + c for lead in ("", "##") for c in C.VOWELS + "бвгджзйклмнпрстфхцчшщъь" if c == c.lower()]
+    known = sorted({*letters, *(r["p"] for r in pieces.distinct().collect())})  # of at most three letters
+    tokenizer = WordPieceTokenizer({p: i for i, p in enumerate(known, 4)})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(tokenizer.encode(w).tokens[1:-1]) for w in b.column(0).to_pylist()])], names=["word", "pieces"])
+
+    return words.mapInArrow(cut, "word string, pieces string")
+
+
+def score_probe(spark, sf_dir):
+    """Vectors as logits, as they are and rounded, against the places of their largest components."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("case"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+    unit = lambda name, logits, ms: rows.select(F.lit(name).alias("unit"), "case", logits.alias("logits"), ms.cast("double").alias("ms"))
+    runs = unit("whole", F.col("logits"), F.col("case") % 7).unionByName(unit("rounded", F.transform("logits", lambda x: F.floor(x * 8) / 8), F.col("case") % 5))
+    got = probe.summary(runs, rows.select("case", T.argmax(F.col("logits")).alias("best")), "whole")
+    return got.select("unit", "cases", "hits", F.round("mean_ms", 9).alias("mean_ms"), F.round("max_abs_diff", 9).alias("max_abs_diff"))
+
+
 def accent_lookup(spark, sf_dir):
     tokens = _tokens(spark, sf_dir)
     found = lookups.lookup(tokens, _accents(_vocabulary(spark, sf_dir)), F.lower("word"))
@@ -271,9 +356,7 @@ def homograph_candidates(spark, sf_dir):
 
 
 def homograph_choice(spark, sf_dir):
-    found = candidates(_short_sentences(spark, sf_dir), ["doc_id", "sent"])
-    scores = NativeHomographGate().scores(found.select("marked", "variant").distinct())
-    return choose(found.join(scores, ["marked", "variant"]), ["doc_id", "sent"])
+    return resolve(_short_sentences(spark, sf_dir), NativeHomographGate(), ["doc_id", "sent"])
 
 
 def subword_average(spark, sf_dir):
@@ -399,6 +482,19 @@ ORACLES = {
     "lexicon_overlay": f"SELECT word, stressed FROM {_ACC} WHERE length(word) % 4 <> 0 UNION ALL SELECT word, word FROM {_VOC} WHERE length(word) % 4 = 0",
     "lexicon_validate": f"SELECT count(*) AS entries, count(*) FILTER (stressed IS NOT NULL AND stressed <> value) AS mismatches, count(*) FILTER (stressed IS NULL) AS missing, 0::BIGINT AS duplicates, round(1 - count(*) FILTER (stressed IS NULL OR stressed <> value) / count(*)::DOUBLE, 9) AS match_rate FROM (SELECT word, {_FIRST} AS value FROM {_VOC}) v LEFT JOIN {_ACC} a USING (word)",
     "key_order": f"SELECT word, row_number() OVER (PARTITION BY length(word) ORDER BY encode(word)) AS place FROM {_VOC}",
+    "char_classes": f"SELECT upper(hex(encode(c))) AS c, regexp_matches(c, '^[{C.SPACE}]+$') AS space, regexp_matches(c, '^\\p{{Nd}}+$') AS digit, regexp_matches(c, '^[{C.WORD}]+$') AS word, regexp_matches(c, '^\\p{{Lu}}+$') AS upper FROM (SELECT DISTINCT unnest(string_split(t || '\xa0\u2003_Ёё٣Ⅳ²', '')) AS c FROM {_D}) WHERE c <> ''",
+    "composed": _sql_text("nfc_normalize(replace(replace(t, 'й', 'и\u0306'), 'е', 'е\u0308'))"),
+    "global_key_order": f"SELECT word, row_number() OVER (ORDER BY encode(word)) AS place FROM {_VOC}",
+    "seeded_sample": f"SELECT word, stressed FROM {_ACC} WHERE word IN ('тхе', 'оф', 'анд') UNION SELECT word, stressed FROM (SELECT * FROM {_ACC} ORDER BY md5('44238 ' || word), word LIMIT 200)",
+    "pack_accents": f"SELECT word, stressed FROM {_ACC}",
+    "pack_omographs": f"SELECT word, array_to_string(variants, '|') AS variants FROM {_OMO}",
+    "pack_yo_words": f"SELECT word, form FROM {_YO}",
+    "json_accents": f"SELECT word, stressed FROM {_ACC}",
+    "wordpiece_tokens": f"""WITH RECURSIVE v AS (SELECT word FROM {_VOC}), s AS (SELECT DISTINCT right(word, 2) AS p FROM v WHERE length(word) > 1),
+ r AS (SELECT word, CASE WHEN length(word) > 2 THEN 3 ELSE 1 END AS k, CASE WHEN length(word) > 2 THEN left(word, 3) ELSE left(word, 1) END AS pieces FROM v
+ UNION ALL SELECT r.word, r.k + CASE WHEN s.p IS NULL THEN 1 ELSE 2 END, r.pieces || ' ##' || coalesce(s.p, substr(r.word, r.k + 1, 1)) FROM r LEFT JOIN s ON s.p = substr(r.word, r.k + 1, 2) WHERE r.k < length(r.word))
+ SELECT word, pieces FROM r WHERE k = length(word)""",
+    "score_probe": "SELECT unit, count(*) AS cases, count(*) FILTER (list_position(l, list_max(l)) = list_position(z, list_max(z))) AS hits, round(avg(ms), 9) AS mean_ms, round(max(list_max([abs(l[i] - z[i]) FOR i IN range(1, len(z) + 1)])), 9) AS max_abs_diff FROM (SELECT unnest(['whole', 'rounded']) AS unit, unnest([z, [floor(x * 8) / 8 FOR x IN z]]) AS l, unnest([vec_id % 7, vec_id % 5]) AS ms, z FROM (SELECT vec_id, embedding::DOUBLE[] AS z FROM embeddings)) GROUP BY unit",
     "accent_lookup": f"SELECT doc_id, count(*) AS n_words, count(stressed) AS n_hits, sum(coalesce(nullif(instr(stressed, '+'), 0) - 1, 0))::BIGINT AS places FROM (SELECT t.doc_id, a.stressed FROM {_TOK} t LEFT JOIN {_ACC} a ON lower(t.word) = a.word) GROUP BY doc_id",
     "yo_restore": f"SELECT word, {_sql_fix('word', 'form')} AS restored FROM (SELECT t.word, coalesce(y.form, t.word) AS form FROM (SELECT DISTINCT word FROM {_TOK}) t LEFT JOIN {_YO} y ON lower(t.word) = y.word)",
     "accent_route": f"SELECT CASE WHEN contains(word, '+') THEN 'marked' WHEN coalesce(stressed, lower(word)) = lower(word) AND NOT {_HAS_PUNCT} AND {_NVOW} > 1 THEN 'scorer' WHEN stressed IS NULL THEN 'bare' ELSE 'dictionary' END AS route, count(*) AS n, count(DISTINCT word) AS n_words FROM {_ROUTED} GROUP BY 1",
@@ -413,6 +509,7 @@ _PLAIN = [
     *(normalize, normalize_keep_plus, hyphen_swap, strip_space, find_word, count_vowels, has_punctuation, delete_spaces, strip_space_before_punc, fix_capital, insert_plus, put_yo, remap_plus),
     *(manual_canonicalize, notation_acute, softmax_argmax, word_split, words_exploded, reassemble, bert_words, char_tokens, sentence_split, sentences_exploded),
     *(lexicon_accents, lexicon_dedup, lexicon_overlay, lexicon_validate, key_order, accent_lookup, yo_restore, accent_route, oov_words, positional_labels, homograph_candidates, homograph_choice, subword_average),
+    *(char_classes, composed, global_key_order, seeded_sample, pack_accents, pack_omographs, pack_yo_words, json_accents, wordpiece_tokens, score_probe),
     *(accentuate_dictionary, accentuate_full, accentuate_trace),
 ]
 
