@@ -112,7 +112,7 @@ def recurring(docs: DataFrame, keys: DataFrame, min_docs: int, depth: int, min_l
     """
     kinds = keys.groupBy("leaf", "line").agg(F.count("*").alias("weight"), F.min("doc_id").alias("rep"))
     many = kinds.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.sum("weight").alias("n")).where((F.col("n_lines") > 1) & (F.col("n") >= min_docs)).select("leaf")
-    wide = _document_counts(keys.join(many, "leaf"), "leaf").where(F.col("n_docs") >= min_docs).select("leaf")
+    wide = _document_counts(keys, "leaf").where(F.col("n_docs") >= min_docs).select("leaf").join(many, "leaf")
     forms, _ = stash(kinds.join(wide, "leaf"), "line-forms")
     general, _ = stash(leaf_templates(docs, forms, depth, min_literal), "line-leaves")
     own = _document_counts(keys.select("doc_id", F.coalesce("text_key", "line").alias("line")), "line").where(F.col("n_docs") >= min_docs).select("line", "first_doc")
