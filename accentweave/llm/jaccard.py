@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, null_ids: bo
     grouped = components(reached.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(second))
     shared.destroy()
     named = keys.join(grouped, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    smallest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that a large component's rows can be split where they are joined.
+    smallest, _ = stash(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest", narrow=True)
     return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
