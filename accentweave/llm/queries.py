@@ -143,11 +143,12 @@ l AS (SELECT doc_id, no, raw, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' E
 m AS (SELECT *, array_to_string(t, ' ') AS masked, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM l),
 own AS (SELECT masked FROM m GROUP BY masked HAVING count(DISTINCT doc_id) >= 10),
 wide AS (SELECT leaf FROM m GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10 AND count(DISTINCT masked) > 1),
-v AS (SELECT leaf, unnest(t) AS token, unnest(range(len(t))) AS pos FROM m WHERE leaf IN (SELECT leaf FROM wide)),
+x AS (SELECT doc_id, masked, t, len(t) || ' ' || d || ' ' || array_to_string(t[1:d], ' ') AS leaf FROM m, (VALUES (3), (4), (5)) AS depths(d) WHERE leaf IN (SELECT leaf FROM wide)),
+v AS (SELECT leaf, unnest(t) AS token, unnest(range(len(t))) AS pos FROM x),
 c AS (SELECT leaf, pos, token, count(*) AS votes FROM v GROUP BY leaf, pos, token),
 f AS (SELECT leaf, pos, CASE WHEN 2 * max(votes) > sum(votes) AND arg_max(token, votes) <> '<*>' THEN arg_max(token, votes) END AS fixed FROM c GROUP BY leaf, pos),
 s AS (SELECT leaf, list(fixed ORDER BY pos) AS fixed FROM f GROUP BY leaf HAVING count(fixed) >= 0.6 * count(*) AND count(fixed) > 0),
-g AS (SELECT m.doc_id, m.leaf, m.masked FROM m JOIN s ON s.leaf = m.leaf WHERE len([1 FOR i IN range(1, len(m.t) + 1) IF s.fixed[i] IS NOT NULL AND s.fixed[i] <> m.t[i]]) = 0),
+g AS (SELECT x.doc_id, x.leaf, x.masked FROM x JOIN s ON s.leaf = x.leaf WHERE len([1 FOR i IN range(1, len(x.t) + 1) IF s.fixed[i] IS NOT NULL AND s.fixed[i] <> x.t[i]]) = 0),
 lost AS (SELECT masked FROM own UNION SELECT masked FROM g WHERE leaf IN (SELECT leaf FROM g GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10)),
 k AS (SELECT r.doc_id, r.no, r.raw, m.masked IS NOT NULL AS filled, m.masked IS NOT NULL AND m.masked IN (SELECT masked FROM lost) AS gone FROM r LEFT JOIN m ON m.doc_id = r.doc_id AND m.no = r.no)
 SELECT d.doc_id, count(k.no) FILTER (k.filled) AS n_lines, count(k.no) FILTER (k.gone) AS n_dropped, CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE sha256(coalesce(string_agg(k.raw, chr(10) ORDER BY k.no) FILTER (NOT k.gone), '')) END AS kept_sha256 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id"""

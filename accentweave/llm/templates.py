@@ -4,7 +4,8 @@ Method. Lines are parsed down a tree of fixed depth: number of tokens, then the
 token with a digit counts as a variable field ``<*>``. Each leaf holds the lines that got there. A leaf
 whose lines come from at least ``min_docs`` documents is generalised: a position where no token has the
 majority of the leaf's lines becomes a field, and lines that agree with all other positions share the
-leaf's template, provided that at least ``min_literal`` of its positions stay literal. Every other line
+leaf's template, provided that at least ``min_literal`` of its positions stay literal. As several templates may begin alike,
+the same is done for the leaves that the tree would have with more leading tokens, up to ``deepest``. Every other line
 is its own template, fields masked; but where less than ``min_literal`` of its tokens are literal, as in rows of
 numbers, it stands for nothing but its own text, unmasked. Templates found in ``min_docs`` documents or more are dropped
 wherever they occur, or everywhere but in the first document that has them.
@@ -84,17 +85,19 @@ def _document_counts(rows: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-def leaf_templates(docs: DataFrame, forms: DataFrame, depth: int, min_literal: float) -> DataFrame:
-    """``(leaf, line)`` for the lines of ``forms(leaf, line, weight, rep)`` that take their leaf's template.
+def leaf_templates(docs: DataFrame, forms: DataFrame, depth: int, deepest: int, min_literal: float) -> DataFrame:
+    """``(leaf, line)`` for the lines of ``forms(leaf, line, weight, rep)`` that take the template of a leaf they are in.
 
-    A line's tokens are read from one document that has it, ``rep``.
+    These leaves are those with ``depth`` to ``deepest`` leading tokens. A line's tokens are read from one document that
+    has it, ``rep``.
     """
     owners = forms.select("rep").distinct()
     read = lines_of(docs.join(owners, docs["doc_id"].eqNullSafe(owners["rep"]), "left_semi"), depth).alias("r")
     f = forms.alias("f")
     mine = (F.col("r.leaf") == F.col("f.leaf")) & (F.col("r.line") == F.col("f.line")) & F.col("r.doc_id").eqNullSafe(F.col("f.rep"))
     texts = f.join(read, mine).groupBy("f.leaf", "f.line").agg(F.max("f.weight").alias("weight"), F.max("r.masked").alias("masked"))
-    tokens = texts.select("leaf", "line", "weight", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+    every = F.array_distinct(F.array(*[F.xxhash64(_tokens(F.col("masked")), F.substring_index("masked", " ", d)) for d in range(depth, deepest + 1)]))
+    tokens = texts.select(F.explode(every).alias("leaf"), "line", "weight", "masked").select("leaf", "line", "weight", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
     votes = tokens.groupBy("leaf", "pos", "token").agg(F.sum("weight").alias("votes"))
     top = votes.groupBy("leaf", "pos").agg(F.sum("votes").alias("n"), F.max(F.struct("votes", "token")).alias("best"))
     literal = (2 * F.col("best.votes") > F.col("n")) & (F.col("best.token") != FIELD)
@@ -104,7 +107,7 @@ def leaf_templates(docs: DataFrame, forms: DataFrame, depth: int, min_literal: f
     return agreed.join(sound, "leaf").where("agreed = literal").select("leaf", "line")
 
 
-def recurring(docs: DataFrame, keys: DataFrame, min_docs: int, depth: int, min_literal: float) -> DataFrame:
+def recurring(docs: DataFrame, keys: DataFrame, min_docs: int, depth: int, deepest: int, min_literal: float) -> DataFrame:
     """``(line, first_doc)``: the key of every line whose template recurs, and the first document with it.
 
     ``keys(doc_id, leaf, line, text_key)`` are the lines of ``docs``, stashed. Bare lines vote in their leaf, but as no
@@ -114,14 +117,14 @@ def recurring(docs: DataFrame, keys: DataFrame, min_docs: int, depth: int, min_l
     many = kinds.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.sum("weight").alias("n")).where((F.col("n_lines") > 1) & (F.col("n") >= min_docs)).select("leaf")
     wide = _document_counts(keys, "leaf").where(F.col("n_docs") >= min_docs).select("leaf").join(many, "leaf")
     forms, _ = stash(kinds.join(wide, "leaf"), "line-forms")
-    general, _ = stash(leaf_templates(docs, forms, depth, min_literal), "line-leaves")
+    general, _ = stash(leaf_templates(docs, forms, depth, deepest, min_literal), "line-leaves")
     own = _document_counts(keys.select("doc_id", F.coalesce("text_key", "line").alias("line")), "line").where(F.col("n_docs") >= min_docs).select("line", "first_doc")
-    leaves = _document_counts(keys.join(general, ["leaf", "line"]), "leaf").where(F.col("n_docs") >= min_docs).select("leaf", "first_doc")
+    leaves = _document_counts(keys.select("doc_id", "line").join(general, "line"), "leaf").where(F.col("n_docs") >= min_docs).select("leaf", "first_doc")
     by_leaf = general.join(leaves, "leaf").select("line", "first_doc")
     return own.unionByName(by_leaf).groupBy("line").agg(F.min("first_doc").alias("first_doc"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_literal: float = 0.6, keep_first: bool = False, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, deepest: int = 5, min_literal: float = 0.6, keep_first: bool = False, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` with recurring lines gone from ``text``, and the numbers of lines and of dropped lines added as ``names``.
 
     Lines that are blank are not counted. With ``keep_first`` the smallest ``doc_id`` that has a template keeps its lines.
@@ -129,7 +132,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_literal
     in one bucket and not in all keys of a long document.
     """
     keys, _ = stash(lines_of(docs, depth, min_literal).select("doc_id", "leaf", "line", "text_key"), "line-keys")
-    gone = keys.select("doc_id", F.coalesce("text_key", "line").alias("line")).join(recurring(docs, keys, min_docs, depth, min_literal), "line")
+    gone = keys.select("doc_id", F.coalesce("text_key", "line").alias("line")).join(recurring(docs, keys, min_docs, depth, deepest, min_literal), "line")
     if keep_first:
         gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     sets = gone.groupBy("doc_id").agg(F.collect_set("line").alias("every")).withColumn("n", F.ceil(F.sqrt(F.size("every"))).cast("int"))

@@ -262,6 +262,19 @@ def test_line_dedup_matches_plain_version(spark):
     assert first[0] == 0 and sum(first.values()) > 60
 
 
+def test_line_dedup_of_templates_that_begin_alike(spark):
+    """Two templates in one leaf, at even weights, that part at the fourth token; each has a field without digits."""
+    names = ["ann", "bob", "cid", "dan", "eve", "finn", "gus", "hal"]
+    rows = []
+    for k in range(24):
+        name = names[k % 8]
+        rows.append((k, (f"Share this article with {name} and all your other friends" if k % 2 else f"Share this article on {name} or tell us your mind") + f"\nown {'abcdefghijklmnopqrstuvwx'[k]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in templates.dedup_lines(docs).collect()}
+    assert got == {k: t.split("\n")[1] for k, t in rows}
+    assert {r["n_dropped"] for r in templates.dedup_lines(docs, deepest=3).collect()} == {0}
+
+
 def test_line_dedup_of_numbers(spark):
     rows = [(k, f"2{k:03}\n{k + 50} {k + 1} {k + 2}\nrow {k},5\n7 8 9\n 1999 \nPage {k} of 40 pages\n<*> <*>\nown {'abcdefghijklmnop'[k]}") for k in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
