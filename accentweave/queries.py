@@ -41,8 +41,8 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
 
 
-def _docs(spark: SparkSession, sf_dir: str, column: str = "t") -> DataFrame:
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).where("text is not null")
+def _docs(spark: SparkSession, sf_dir: str, column: str = "t", nulls: bool = False) -> DataFrame:
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).where(F.lit(nulls) | F.col("text").isNotNull())
     return docs.select("doc_id", F.translate("text", LATIN + LATIN.upper(), CYRILLIC + CYRILLIC.upper()).alias(column))
 
 
@@ -163,9 +163,9 @@ def notation_acute(spark, sf_dir):
 
 
 def softmax_argmax(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform(F.slice("embedding", F.lit(1), F.lit(3)), lambda x: x.cast("double")).alias("z"))
-    p = rows.withColumn("p", T.softmax(F.col("z")))
-    return p.select("vec_id", T.argmax(F.col("z")).cast("long").alias("best"), *[F.round(F.get("p", F.lit(k)), 9).alias(f"p{k}") for k in range(3)])
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
+    p = rows.select("vec_id", T.argmax(F.col("z")).cast("long").alias("best"), F.posexplode(T.softmax(F.col("z"))).alias("pos", "p"))
+    return p.select("vec_id", "best", F.col("pos").cast("long").alias("pos"), F.round("p", 9).alias("p"))
 
 
 def char_classes(spark, sf_dir):
@@ -361,7 +361,7 @@ def homograph_choice(spark, sf_dir):
 
 def subword_average(spark, sf_dir):
     """Words of pieces of three letters, with scores taken from the vectors by place."""
-    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.filter(W.words(F.col("t")), lambda w: w.rlike("^[а-яА-ЯёЁ]+$"))).alias("k", "word"))
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(W.words(F.col("t"))).alias("k", "word"))
     cut = words.select("doc_id", "k", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / 3)), lambda i: F.substring("word", i * 3 + 1, F.lit(3)))).alias("i", "piece"))
     tokens = cut.select(
         "doc_id",
@@ -380,7 +380,7 @@ def subword_average(spark, sf_dir):
 
 
 def _plain_docs(spark, sf_dir) -> DataFrame:
-    return _docs(spark, sf_dir, "text")
+    return _docs(spark, sf_dir, "text", nulls=True)
 
 
 def accentuate_dictionary(spark, sf_dir):
@@ -449,7 +449,7 @@ _CAND = f"""(WITH s AS (SELECT doc_id, sent, {_sql_words('line')} AS w FROM {_LI
  e AS (SELECT doc_id, sent, w, unnest(w) AS word, unnest(range(len(w))) AS pos FROM s),
  c AS (SELECT e.*, o.variants, {_sql_close_up("array_to_string([CASE WHEN i - 1 = pos THEN ' <w>' || w[i] || '</w> ' ELSE w[i] END FOR i IN range(1, len(w) + 1)], ' ')")} AS marked FROM e JOIN {_OMO} o ON lower(e.word) = o.word)
  SELECT doc_id, sent, pos, marked, unnest(variants) AS variant, unnest(range(len(variants))) AS variant_no FROM c)"""
-_PIECES = f"""(WITH w AS (SELECT doc_id, [x FOR x IN {_sql_words('t')} IF regexp_matches(x, '^[а-яА-ЯёЁ]+$')] AS l FROM {_D}),
+_PIECES = f"""(WITH w AS (SELECT doc_id, {_sql_words('t')} AS l FROM {_D}),
  k AS (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS k FROM w)
  SELECT doc_id, k, i, substr(word, i * 3 + 1, 3) AS piece FROM k, unnest(range((length(word) - 1) // 3 + 1)) AS u(i))"""
 
@@ -471,7 +471,7 @@ ORACLES = {
     "remap_plus": f"SELECT word, CASE WHEN instr(m, '+') = 0 THEN word ELSE substr(word, 1, instr(m, '+') - 1) || '+' || substr(word, instr(m, '+')) END AS marked FROM (SELECT w AS word, {_FIRST} AS m FROM (SELECT DISTINCT word AS w, lower(word) AS word FROM {_TOK} WHERE regexp_matches(word, '^[а-яА-ЯёЁ]+$')))",
     "manual_canonicalize": f"SELECT doc_id, length(x) AS n_chars, md5(x) AS digest, marked FROM (SELECT doc_id, replace(regexp_replace(m, '({_V}){C.ACUTE}', '+\\1', 'g'), '{C.ACUTE}', '') AS x, regexp_matches(m, '{_V}{C.ACUTE}|\\+{_V}') AS marked FROM (SELECT doc_id, regexp_replace(t, '({_V})н', '\\1{C.ACUTE}н', 'g') AS m FROM {_D}))",
     "notation_acute": _sql_text(f"replace(regexp_replace(regexp_replace(t, '({_V})т', '+\\1т', 'g') || '+', '(?s)\\+(.)', '\\1{C.ACUTE}', 'g'), '+', '')"),
-    "softmax_argmax": "SELECT vec_id, (list_position(z, list_max(z)) - 1)::BIGINT AS best, round(exp(z[1] - list_max(z)) / s, 9) AS p0, round(exp(z[2] - list_max(z)) / s, 9) AS p1, round(exp(z[3] - list_max(z)) / s, 9) AS p2 FROM (SELECT vec_id, z, exp(z[1] - list_max(z)) + exp(z[2] - list_max(z)) + exp(z[3] - list_max(z)) AS s FROM (SELECT vec_id, embedding[1:3]::DOUBLE[] AS z FROM embeddings))",
+    "softmax_argmax": "SELECT vec_id, (list_position(z, m) - 1)::BIGINT AS best, unnest(range(len(z))) AS pos, round(unnest([exp(x - m) / s FOR x IN z]), 9) AS p FROM (SELECT *, list_sum([exp(x - m) FOR x IN z]) AS s FROM (SELECT vec_id, z, list_max(z) AS m FROM (SELECT vec_id, embedding::DOUBLE[] AS z FROM embeddings)))",
     "word_split": f"SELECT doc_id, len(w)::BIGINT AS n_words, md5(array_to_string(w, '|')) AS words, md5(array_to_string(CASE WHEN len(w) = 0 THEN ['', ''] ELSE string_split_regex(replace(t, ' - ', ' ~ '), {_q(W.TOKEN)}) END, '|')) AS gaps FROM (SELECT doc_id, t, {_sql_words('t')} AS w FROM {_D})",
     "words_exploded": f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM {_TOK} GROUP BY word",
     "reassemble": f"SELECT doc_id, length(x) AS n_chars, md5(x) AS digest, md5(y) AS without_last_gap FROM (SELECT doc_id, {_sql_close_up('b || g[len(w) + 1]')} AS x, {_sql_close_up('b')} AS y FROM (SELECT *, array_to_string([g[i] || w[i] FOR i IN range(1, len(w) + 1)], '') AS b FROM (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN ['', ''] ELSE string_split_regex(replace(t, ' - ', ' ~ '), {_q(W.TOKEN)}) END AS g FROM (SELECT doc_id, t, {_sql_words('t')} AS w FROM {_D}))))",
