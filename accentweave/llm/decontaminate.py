@@ -311,8 +311,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 6, literal: int = 3,
     np.bitwise_or.at(bitmap, bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
     shared = spark.sparkContext.broadcast(bitmap)
     # A text's windows come once for each of its copies; they are one row each before they meet the items.
-    found, _ = stash(document_windows(docs.select("form", "text"), shared, sizes, lengths, literal).dropDuplicates(["form", "at", "hash"]), "document-windows")
-    shared.destroy()
+    found = document_windows(docs.select("form", "text"), shared, sizes, lengths, literal).dropDuplicates(["form", "at", "hash"])
     met = found.join(known, "hash").groupBy("form", "item", "item_id").agg(
         F.collect_list(F.struct("variant", "size", "tokens", "place", "item_slots", "at", "doc_slots")).alias("rows"), F.countDistinct("place").alias("places"), F.max("size").alias("size"), F.min("tokens").alias("tokens")
     )
