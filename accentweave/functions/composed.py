@@ -16,15 +16,14 @@ def with_form(df: DataFrame, column: str, into: str, form: str) -> DataFrame:
     """``df`` with ``into``, the text of ``column`` in a Unicode normal form; null stays null. ASCII is left as it is."""
     if form not in FORMS:
         raise ValueError(f"form must be one of {FORMS}, not {form!r}")
-    own = [c for c in df.columns if c != into]
+    at, keep = df.columns.index(column), [i for i, c in enumerate(df.columns) if c != into]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(own.index(column)).to_pylist()
-            out = [t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*own, into])
+            out = [t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(out, pa.string())], names=[*(b.schema.names[i] for i in keep), into])
 
-    return df.select(*own).mapInArrow(rows, df.select(*own).schema.add(into, "string"))
+    return df.mapInArrow(rows, df.select(*(df.columns[i] for i in keep)).schema.add(into, "string"))
 
 
 def accentuate_decomposed(engine, df: DataFrame, column: str = "text", into: str = "accentuated") -> DataFrame:
