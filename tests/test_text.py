@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from accentweave.functions import charsets as C
 from accentweave.functions import text as T
 from accentweave.functions import words as W
 from accentweave.functions.sentences import sentence_spans, sentences
@@ -130,3 +131,14 @@ def test_scores(spark):
 
 def test_put_yo(spark):
     assert spark.range(1).select(T.put_yo(F.lit("Ежелень"), F.array(F.lit(0), F.lit(4)))).first()[0] == "Ёжелёнь"
+
+
+def test_vowels_are_searched_and_cases_moved_as_letter_by_letter(spark):
+    words = ["", "кот", "мо", "молоко", "Ёж", "ЁЖИК", "Ежик", "вЕрх", "x", "Σας", "е-ё", "ежик", "ОДИН"]
+    rows = [(a, b) for a in words for b in words]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.fix_capital(F.col("a"), F.col("b")).alias("c"), *(T.has_vowels(F.col("a"), n).alias(f"n{n}") for n in (1, 2))).collect()
+    for r in got:
+        moved = "".join(y.upper() if x == x.upper() and x != x.lower() else y.lower() for x, y in zip(r["a"], r["b"], strict=False))
+        assert r["c"] == (moved if len(r["a"]) == len(r["b"]) else r["b"])
+        vowels = sum(c in C.VOWELS for c in r["a"])
+        assert (r["n1"], r["n2"]) == (vowels > 0, vowels > 1)
