@@ -12,7 +12,8 @@ anchor are one shard: only there can its windows match. Runs that are equal word
 the shard, owned by the smallest document that has it; all other documents that have it lose it whole. A
 shard's texts go through one automaton in the order of their owners: each is first streamed, which finds
 what smaller documents hold, then added. An anchor with more than ``fan`` different texts is too much for one
-automaton; its windows are spread by their own hashes instead, which finds the same.
+automaton; its windows are spread by hashes instead, which finds the same: as blocks of ``BLOCK`` windows, and on their
+own only where different blocks can hold equal ones.
 
 Edge cases. Null, empty and short texts have no window and lose nothing; a null ``doc_id`` neither loses
 words nor takes any. Rows with the same ``doc_id`` do not take words from each other. Repeats within one
@@ -34,6 +35,7 @@ from .textscan import mix, shingle_hashes, texts_of, word_hashes, word_spans
 
 WINDOW = 50
 GRAM = 8
+BLOCK = 8
 
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -104,6 +106,16 @@ class SuffixAutomaton:
         return out
 
 
+def range_sums(words: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A number for each ``words[first:stop]``; equal words have equal numbers."""
+    base = np.full(len(words), _STEP, dtype=np.uint64)
+    base[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(base, dtype=np.uint64), dtype=np.uint64)])
+    back = np.full(len(words), _BACK, dtype=np.uint64)
+    back[0] = 1
+    return (sums[stop] - sums[first]) * np.cumprod(back, dtype=np.uint64)[first]
+
+
 def runs_of(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each run: the anchor's hash, the hash of its words, its first window and how many it has."""
     if len(words) < window:
@@ -113,12 +125,7 @@ def runs_of(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     anchor = at + np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(axis=1)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     count = np.diff(np.concatenate([first, [len(at)]]))
-    base = np.full(len(words), _STEP, dtype=np.uint64)
-    base[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(base, dtype=np.uint64), dtype=np.uint64)])
-    back = np.full(len(words), _BACK, dtype=np.uint64)
-    back[0] = 1
-    content = (sums[first + count - 1 + window] - sums[first]) * np.cumprod(back, dtype=np.uint64)[first]
+    content = range_sums(words, first, first + count - 1 + window)
     return grams[anchor[first]].view(np.int64), mix(content + count.astype(np.uint64)).view(np.int64), first, count
 
 
@@ -184,20 +191,70 @@ def _held_by_smaller(texts: DataFrame, window: int) -> DataFrame:
     return texts.groupBy("anchor").applyInArrow(shard, "anchor long, content long, gone array<int>")
 
 
-def _held_by_hash(texts: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many texts: windows meet by their own hashes."""
+def blocks_of(words: np.ndarray, anchor: int, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of each block of a run's text: its first window, how many it has, the hash of its core and that of its words.
+
+    Windows are told by how far into them the anchor is; those of ``BLOCK`` such places, as far as the run has them, are
+    a block. Its core is what all windows of these places have in common, also those that the run does not have.
+    """
+    n = len(words) - window + 1
+    at = int(np.flatnonzero(shingle_hashes(words, gram).view(np.int64) == anchor)[0])
+    width = min(BLOCK, window)
+    block = (at - np.arange(n)) // width
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    count = np.diff(np.concatenate([first, [n]]))
+    low = at - block[first] * width
+    core = mix(range_sums(words, low, low - width + 1 + window) + mix(block[first].astype(np.uint64)))
+    place = ((at - first) * window + count).astype(np.uint64)
+    return first, count, core, mix(range_sums(words, first, first + count - 1 + window) ^ mix(place) ^ core)
+
+
+def _held_by_hash(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """The same for anchors with very many texts, by blocks of windows.
+
+    Blocks that are equal word for word are one, and lost whole by all but the smallest owner. Windows can only be
+    equal in blocks of one core, so only where different blocks share a core do their windows meet by their own hashes.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, parts, spans = [], [], []
+            for r, (anchor, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                words = np.frombuffer(raw, dtype=np.uint64)
+                parts.append(blocks_of(words, anchor, window, gram))
+                rows += [r] * len(parts[-1][0])
+                spans += [raw[8 * f : 8 * (f + c - 1 + window)] for f, c in zip(parts[-1][0].tolist(), parts[-1][1].tolist(), strict=True)]
+            first, count, core, body = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 4
+            row = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k).take(row) for k in range(3)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(body.view(np.int64)), pa.array(spans, pa.binary())],
+                names=["anchor", "content", "owner", "start", "n", "core", "body", "words"],
+            )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [shingle_hashes(np.frombuffer(raw.as_py(), dtype=np.uint64), window) for raw in b.column(3)]
-            n = [len(h) for h in hashes]
+            hashes = [np.zeros(0, np.uint64)]
+            for raw in b.column(2).to_pylist():
+                words = np.frombuffer(raw, dtype=np.uint64)
+                first = np.arange(len(words) - window + 1)
+                hashes.append(mix(range_sums(words, first, first + window)))
+            n = [len(h) for h in hashes[1:]]
             row = pa.array(np.repeat(np.arange(len(n)), n))
             places = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(3)), pa.array(places), pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64))], names=["anchor", "content", "owner", "at", "hash"])
-
-    rows, _ = stash(texts.mapInArrow(spread, "anchor long, content long, owner long, at int, hash long"), "crowded-windows")
-    least = rows.groupBy("hash").agg(F.min("owner").alias("least"))
-    return rows.join(least, "hash").where("least < owner").groupBy("anchor", "content").agg(F.collect_list("at").alias("gone"))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(2)), pa.array(places), pa.array(np.concatenate(hashes).view(np.int64))], names=["body", "least", "at", "hash"])
+
+    # What is joined is written before, so that rows of a large group can be split where they are joined.
+    blocks, _ = stash(texts.mapInArrow(cut, "anchor long, content long, owner long, start int, n int, core long, body long, words binary"), "crowded-blocks")
+    bodies, _ = stash(blocks.groupBy("core", "body").agg(F.min("owner").alias("least"), F.min_by("words", "owner").alias("words")), "crowded-bodies")
+    cores, _ = stash(bodies.groupBy("core").agg(F.count("*").alias("bodies")).where("bodies > 1").select("core"), "crowded-cores", narrow=True)
+    open_ones = bodies.join(cores, "core", "left_semi").select("body", "least", "words")
+    rows, _ = stash(open_ones.mapInArrow(spread, "body long, least long, at int, hash long"), "crowded-windows")
+    lowest, _ = stash(rows.groupBy("hash").agg(F.min("least").alias("low")), "crowded-owners", narrow=True)
+    parts = rows.join(lowest, "hash").where("low < least").groupBy("body").agg(F.collect_list("at").alias("gone"))
+    known, _ = stash(bodies.select("body", "least").join(parts, "body", "left"), "crowded-known", narrow=True)
+    all_of, some = F.sequence("start", F.col("start") + F.col("n") - 1), F.transform("gone", lambda g: (g + F.col("start")).cast("int"))
+    lost = blocks.drop("core", "words").join(known, "body").select("anchor", "content", F.when(F.col("least") < F.col("owner"), all_of).otherwise(some).alias("gone"))
+    return lost.where("gone is not null").groupBy("anchor", "content").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan: int = 512) -> DataFrame:
@@ -210,13 +267,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan:
     wanted = shared.where("texts > 1")
     texts, _ = stash(_texts(docs, wanted, window), "run-texts")
     columns = ["anchor", "content", "owner", "words"]
-    held = _held_by_smaller(texts.where(F.col("texts") <= fan).select(*columns), window).unionByName(_held_by_hash(texts.where(F.col("texts") > fan).select(*columns), window))
+    held = _held_by_smaller(texts.where(F.col("texts") <= fan).select(*columns), window).unionByName(_held_by_hash(texts.where(F.col("texts") > fan).select(*columns), window, gram))
     held, _ = stash(held, "held")
     copies = shared.where("last > owner").select("anchor", "content", "owner")
-    lost = runs.join(copies, ["anchor", "content"]).where("doc_id > owner").select("doc_id", "form", F.struct("start", "n").alias("span"))
+    lost = runs.join(copies, ["anchor", "content"]).where("doc_id > owner").select("doc_id", "form", F.array(F.struct("start", "n")).alias("spans"))
     own = shared.join(held, ["anchor", "content"]).select(F.col("owner").alias("doc_id"), "anchor", "content", "gone")
-    own = runs.join(own, ["doc_id", "anchor", "content"]).select("doc_id", "form", F.explode(F.transform("gone", lambda g: F.struct((F.col("start") + g).cast("int").alias("start"), F.lit(1).alias("n")))).alias("span"))
-    return lost.unionByName(own).groupBy("doc_id", "form").agg(F.collect_list("span").alias("spans"))
+    own = runs.join(own, ["doc_id", "anchor", "content"]).select("doc_id", "form", F.transform("gone", lambda g: F.struct((F.col("start") + g).cast("int").alias("start"), F.lit(1).alias("n"))).alias("spans"))
+    return lost.unionByName(own).groupBy("doc_id", "form").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan: int = 512) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,31 @@ def test_substrings_match_brute_force(corpus, rows, fan):
     assert found == brute_cut(rows)
 
 
+def test_crowded_windows_meet_as_blocks(spark, monkeypatch):
+    """Near copies under crowded anchors: the result is that of all windows, few of which are rows of their own."""
+    made = {}
+
+    def counted(df, name, real=substring.stash, **how):
+        out = real(df, name, **how)
+        made[name] = made.get(name, 0) + out[0].count()
+        return out
+
+    monkeypatch.setattr(substring, "stash", counted)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(80):
+        words = list(base[rng.randrange(30) : 200 - rng.randrange(30)])
+        for at in rng.sample(range(len(words)), k % 3):
+            words[at] = f"e{rng.randrange(10**9)}"
+        rows.append((rng.randrange(60), " ".join(words)))
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), fan=1)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got.collect()) == brute_cut(rows)
+    runs = [substring.runs_of(w, 50, 8) for _, w, at in textscan.word_hashes(pa.array([" ".join(base)]), lower=False)]
+    windows = made["run-texts"] * sum(r[3].sum() for r in runs) / sum(len(r[3]) for r in runs)
+    assert 0 < made["crowded-windows"] < windows / 2
+
+
 def test_suffix_automaton_matching_statistics():
     rng = random.Random(2)
     texts = [[rng.randrange(3) for _ in range(40)] for _ in range(4)]
