@@ -11,8 +11,9 @@ Texts with equal sets are one class, found first. Then:
 
 1. Under each prefix shingle the class that meets most others in all is a star's centre; each class is paired
    with the centre it meets most often. Verified pairs are joined to components.
-2. Under each prefix shingle only pairs of classes of different components are left; all of them are
-   verified.
+2. Under each prefix shingle only pairs of classes of different components are left. Each set has a sketch, whose
+   bits say whether an odd number of its shingles falls on them; sketches differ in no more bits than sets in
+   members, so pairs whose sketches differ in more than a link allows cannot link. All others are verified.
 
 No link between two components is missed, and groups of near copies, which are one component after the
 first step, are never expanded into all their pairs. Pairs are verified per centre by a prefix tree: the
@@ -49,6 +50,7 @@ SKETCH_BITS = 18
 MEET = 4
 SMALL = 10
 SALTS = 64
+SKETCH = ("s0", "s1", "s2", "s3")
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -65,6 +67,12 @@ def digest(shingles: np.ndarray) -> int:
     return int(mix((mix(sums) * np.array([1, 3, 5], dtype=np.uint64)).sum(axis=1)).view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each value of the lowest byte: whether an odd number of shingles has it."""
+    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def buckets(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(56 - SKETCH_BITS)).astype(np.int64)
 
@@ -143,7 +151,9 @@ def _classes(counts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def set_keys(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n, node)`` of each document, without a node where it takes no part, and ``(bucket, n)``: all shingles counted by counter."""
+    """``(doc_id, n, node, *SKETCH)`` of each document, without a node where it takes no part, and ``(bucket, n)``: all shingles counted by counter."""
+
+    names = ["doc_id", "n", "node", *SKETCH, "counts"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -152,8 +162,9 @@ def set_keys(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             sizes, nodes = [len(s) for s in sets], [digest(s) if len(s) and there else None for s, there in zip(sets, b.column(0).is_valid().to_pylist(), strict=True)]
             if sets:
                 total += np.bincount(buckets(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "node", "counts"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], names=["doc_id", "n", "node", "counts"])
+            bits = np.concatenate([np.zeros(0, np.int64), *(sketch(x) for x in sets)]).reshape(-1, len(SKETCH))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(len(SKETCH))), pa.nulls(len(sizes), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in names[:-1]), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], names=names)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -163,7 +174,7 @@ def set_keys(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    keys, _ = stash(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, node long, counts binary"), "set-keys")
+    keys, _ = stash(docs.select("doc_id", "text").mapInArrow(scan, ", ".join(f"{c} long" for c in names[:-1]) + ", counts binary"), "set-keys")
     counts = keys.where("counts is not null").select("counts").mapInArrow(slices, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     return keys.where("counts is null").drop("counts"), counts
 
@@ -255,8 +266,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, null_ids: bo
 
     placed = crowd.drop("crowd").join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_rows = placed.join(mixed, "token")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & early("x", "y")
+    sketches = keys.where("node is not null").groupBy("node").agg(*(F.max(c).alias(c) for c in SKETCH))
+    open_rows = placed.join(mixed, "token").join(sketches, "node")
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0))
+    both = F.col("x.n") + F.col("y.n")
+    near = differ <= both - 2 * F.ceil(F.lit(percent) * both / F.lit(100 + percent))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & early("x", "y") & near
     met = open_rows.alias("x").join(open_rows.alias("y"), apart).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("met"))
     rest = met.where(F.col("met") >= _enough(F.col("n"), F.col("m"))).select("a", "b")
     second = verified(rest, docs, owners, shared, k, percent)

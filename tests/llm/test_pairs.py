@@ -91,6 +91,33 @@ def test_crowded_shingles(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
 
+def test_pairs_whose_sketches_differ_too_much_are_not_looked_at(spark, monkeypatch):
+    """Texts made of the same passages meet often and hardly link; sketches lose no link and few such pairs stay."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(f"p{p}w{j}" for p in rng.sample(range(14), 7) for j in range(12))) for k in range(80)]
+    rows += [(k + 80, t.replace("w3", f"e{k}", 1)) for k, t in rows[:10]]
+    table, made = spark.createDataFrame(rows, "doc_id long, text string"), []
+
+    def counted(pairs, *rest, real=jaccard.verified, **how):
+        made.append(pairs.count())
+        return real(pairs, *rest, **how)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    assert sorted(map(tuple, jaccard.near_duplicates(table).collect())) == brute_components(rows)
+    monkeypatch.setattr(jaccard, "sketch", lambda shingles: np.zeros(len(jaccard.SKETCH), np.int64))
+    assert sorted(map(tuple, jaccard.near_duplicates(table).collect())) == brute_components(rows)
+    assert made[0] == made[2] and made[1] < made[3] / 4
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 20, 400, 3000):
+        a = np.unique(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        b = np.union1d(a[n // 5 :], rng.integers(0, 1 << 56, n // 7, dtype=np.uint64))
+        differ = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def test_one_of_each_group_stays(corpus, rows):
     kept = jaccard.keep_one(corpus)
     assert kept.columns == corpus.columns
