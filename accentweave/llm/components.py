@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, stash
+from .storage import discard, gathered, stash
 
 LINKS_A_TASK = 1 << 20
 _SCHEMA = "a long, b long"
@@ -58,7 +58,7 @@ def components(links: DataFrame, links_a_task: int = LINKS_A_TASK) -> DataFrame:
     contractions until a step changes nothing; each step's links are written to the shared folder. The number of
     steps grows with the logarithm of the number of nodes. Only counts and sums of links come to the driver.
     """
-    given, path = stash(links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "links")
+    given, path = stash(gathered(links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()), "links")
     tasks = max(1, -(-given.count() // links_a_task))
     dealt = given.coalesce(1) if tasks == 1 else given.repartition(tasks, "a", "b")
     now, new = stash(dealt.mapInArrow(_contracted, _SCHEMA), "links")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches, stash
+from .storage import gathered, small_batches, stash
 from .textscan import IS_SPACE, LOWER, mix, powers, row_chunks, shingle_hashes, span_hashes, texts_of
 
 BITMAP_BITS = 24
@@ -303,7 +303,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 6, literal: int = 3,
     """
     spark = docs.sparkSession
     small_batches(spark)
-    known, _ = stash(item_windows(items, window, literal, least, coverage, shortest), "item-windows")
+    known, _ = stash(gathered(item_windows(items, window, literal, least, coverage, shortest)), "item-windows")
     found_sizes = known.select(F.col("variant") == EXACT, "size").distinct().collect()  # at most ``window`` numbers, and lengths of items
     sizes, lengths = (sorted(size for exact, size in found_sizes if exact == kind) for kind in (False, True))
     bitmap = np.zeros(1 << BITMAP_BITS >> 3, dtype=np.uint8)
@@ -335,11 +335,11 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 6, literal: int = 3,
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``(doc_id, item_id, coverage, consistency, changed)``: which rows of ``docs(doc_id, text)`` hold which items."""
     formed = docs.select("doc_id", F.xxhash64("text").alias("form"), "text")
-    hits, _ = stash(leaks(formed, items, **options), "leaks")
+    hits, _ = stash(gathered(leaks(formed, items, **options)), "leaks")
     return formed.select("doc_id", "form").join(hits, "form").drop("form")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold an item."""
-    hits, _ = stash(leaks(docs.select(F.xxhash64("text").alias("form"), "text"), items, **options).select(F.col("form").alias("_form")).distinct(), "leaks")
+    hits, _ = stash(gathered(leaks(docs.select(F.xxhash64("text").alias("form"), "text"), items, **options).select(F.col("form").alias("_form")).distinct()), "leaks")
     return docs.join(hits, F.xxhash64(docs["text"]) == hits["_form"], "left_anti")

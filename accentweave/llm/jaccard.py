@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import free_name, small_batches, stash
+from .storage import free_name, gathered, small_batches, stash
 from .textscan import mix, shingle_hashes, word_hashes
 
 SKETCH_BITS = 18
@@ -214,7 +214,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, shared, k: in
     """Those of ``pairs(a, b)`` that link. Pairs of one ``a`` make trees of about ``fan`` sets each."""
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / fan).cast("int").alias("trees"))
     dealt = pairs.join(load, "a").withColumn("tree", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int"))
-    dealt, _ = stash(dealt, "pairs")
+    dealt, _ = stash(gathered(dealt), "pairs")
     wanted = dealt.select(F.col("a").alias("node")).unionByName(dealt.select(F.col("b").alias("node"))).distinct()
     sets, _ = stash(_sets_of(docs, owners.join(wanted, "node", "left_semi"), shared, k), "sets")
     left = dealt.select("a", "tree").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("centre")), "a").select("a", "tree", "centre")

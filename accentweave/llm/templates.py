@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import free_name, stash
+from .storage import free_name, gathered, stash
 
 FIELD = "<*>"
 
@@ -116,8 +116,8 @@ def recurring(docs: DataFrame, keys: DataFrame, min_docs: int, depth: int, deepe
     kinds = keys.groupBy("leaf", "line").agg(F.count("*").alias("weight"), F.min("doc_id").alias("rep"))
     many = kinds.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.sum("weight").alias("n")).where((F.col("n_lines") > 1) & (F.col("n") >= min_docs)).select("leaf")
     wide = _document_counts(keys, "leaf").where(F.col("n_docs") >= min_docs).select("leaf").join(many, "leaf")
-    forms, _ = stash(kinds.join(wide, "leaf"), "line-forms")
-    general, _ = stash(leaf_templates(docs, forms, depth, deepest, min_literal), "line-leaves")
+    forms, _ = stash(gathered(kinds.join(wide, "leaf")), "line-forms")
+    general, _ = stash(gathered(leaf_templates(docs, forms, depth, deepest, min_literal)), "line-leaves")
     own = _document_counts(keys.select("doc_id", F.coalesce("text_key", "line").alias("line")), "line").where(F.col("n_docs") >= min_docs).select("line", "first_doc")
     leaves = _document_counts(keys.select("doc_id", "line").join(general, "line"), "leaf").where(F.col("n_docs") >= min_docs).select("leaf", "first_doc")
     by_leaf = general.join(leaves, "leaf").select("line", "first_doc")

@@ -3,11 +3,12 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from accentweave.llm import decontaminate, langid, license, mixing, templates, tokens, toxicity
+from accentweave.llm import components, decontaminate, jaccard, langid, license, mixing, storage, templates, tokens, toxicity
 
 from .conftest import DOC, prose
 
@@ -449,6 +450,42 @@ def test_decontamination_of_items_without_windows(spark):
     assert got == [*((k, k) for k in range(len(items))), *((10 + k, k) for k in range(len(items))), (23, 3), (26, 0)]
 
 
+def test_small_tables_take_few_files(spark, tmp_path, monkeypatch):
+    """With many shuffle partitions, that nothing coalesces, tables of small rows are not a file for each of them."""
+    import corpus_pipeline
+
+    files = {}
+
+    def counted(df, name, real=storage.stash, **how):
+        out, path = real(df, name, **how)
+        names = [p.name for p in Path(path.removeprefix("file://").removeprefix("file:")).iterdir()]
+        assert "_SUCCESS" not in names
+        files.setdefault(name, []).append(sum(n.startswith("part-") for n in names))
+        return out, path
+
+    for module in (components, decontaminate, jaccard, templates):
+        monkeypatch.setattr(module, "stash", counted)
+    item = "Yesterday Anna bought 12 apples for 3 dollars each. How much did Anna pay for the apples in total?"
+    rows = []
+    for k in range(120):
+        lines = [f"Reader {prose(j, 1)[0]} {prose(900 + j, 1)[0]} of {prose(1000 * k + j, 1)[0]} shares this page number {j} here" for j in range(60)]
+        rows.append((k, "\n".join([*lines, " ".join(prose(k // 2, 60)), f"{item} {k}" if k % 3 else f"only {k}"]), "en", f"s{k % 2}"))
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], DOC)
+    spark.createDataFrame([(k, f"{item} {k}" if k == 1 else " ".join(prose(5000 + k, 30))) for k in range(30)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for stage in (corpus_pipeline.line_dedup, corpus_pipeline.ngram_jaccard, corpus_pipeline.benchmark_decontamination):
+            stage(spark, docs, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    small = {name: max(files[name]) for name in ("line-forms", "line-leaves", "pairs", "links", "item-windows", "leaks")}
+    assert all(0 < n <= 5 for n in small.values()), small
+
+
 def test_pipeline_stages_keep_columns(spark, corpus, tmp_path):
     import corpus_pipeline
 
